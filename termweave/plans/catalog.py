@@ -2,5 +2,298 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termweave.functions import scalar, text
+from termweave.operators import batch, filters, shards, signatures, statistics, verify
+from termweave.plans.api import Engine
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Tokens and distinct terms as DuckDB has them.
+_T = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '')"
+_D = f"d AS (SELECT doc_id, lang, source, text, {_T} AS toks, list_distinct({_T}) AS terms FROM documents)"
+_P = "p AS (SELECT doc_id, lang, unnest(terms) AS gram FROM d)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source", F.octet_length("text").cast("long").alias("source_bytes"))
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _has(term: str) -> str:
+    return f"list_contains(terms, '{term}')"
+
+
+def _phrase(*grams: str) -> str:
+    n = len(grams)
+    return f"len(list_filter(range(1, len(toks) - {n - 2})  , lambda i: toks[i:i + {n - 1}] = {list(grams)!r})) > 0"
+
+
+_MATCHES = {
+    "match_unigram": ("the", _has("the")),
+    "match_and": ("the and", f"{_has('the')} AND {_has('and')}"),
+    "match_or": ("der | les", f"{_has('der')} OR {_has('les')}"),
+    "match_not": ("the -that", f"{_has('the')} AND NOT {_has('that')}"),
+    "match_nested": ("the (and | to) -that", f"{_has('the')} AND ({_has('and')} OR {_has('to')}) AND NOT {_has('that')}"),
+    "match_not_only": ("-the", f"NOT {_has('the')}"),
+    "match_not_or": ("-(the | der)", f"NOT ({_has('the')} OR {_has('der')})"),
+    "match_phrase2": ('"of the"', _phrase("of", "the")),
+    "match_phrase3": ('"is the the" | "of the the"', f"{_phrase('is', 'the', 'the')} OR {_phrase('of', 'the', 'the')}"),
+    "match_phrase_not": ('"in the" -"of the"', f"{_phrase('in', 'the')} AND NOT {_phrase('of', 'the')}"),
+}
+for _name, (_text, _sql) in _MATCHES.items():
+    _query(_name, f"WITH {_D} SELECT doc_id FROM d WHERE {_sql}")(lambda spark, sf_dir, q=_text: Engine(_docs(spark, sf_dir)).query(q))
+
+
+@_query("match_lang_fact", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('in')} AND lang = 'en'")
+def _(spark, sf_dir):
+    from termweave.plans.compiler import to_column
+    from termweave.plans.parser import And, Fact, Term
+
+    docs = _docs(spark, sf_dir).withColumn("english", F.col("lang") == "en")
+    return docs.where(to_column(And((Term("in"), Fact("english"))), {0: "terms"}, {0: "toks"})).select("doc_id")
+
+
+_PAGES = r"""pg AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, lower(regexp_extract(html, '<article>(.*)', 1, 's')) AS body FROM pages)"""
+
+
+@_query("match_stream_pages", rf"WITH {_PAGES} SELECT page_id AS doc_id FROM pg WHERE list_contains(regexp_split_to_array(title, '[ \t\n\r\f]+'), 'the') AND NOT list_contains(regexp_split_to_array(body, '[ \t\n\r\f]+'), 'in')")
+def _(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    title, body = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "(?s)<article>(.*)", 1)
+    docs = pages.select(F.col("page_id").alias("doc_id"), text.tokenize(title).alias("title"), text.tokenize(body).alias("body"))
+    return Engine(docs, {"title": 1, "body": 2}, {0: ("body", "body"), 1: ("title", "title"), 2: ("body", "body")}).query("title:the -body:in")
+
+
+@_query("match_conversation_role", r"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND list_contains(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), 'the')")
+def _(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    own = F.when(F.col("role") == "user", text.tokenize("text")).otherwise(F.array().cast("array<string>"))
+    docs = t.select("conv_id", "turn", own.alias("user"))
+    engine = Engine(docs, {"user": 1}, {0: ("user", "user"), 1: ("user", "user")})
+    return docs.where(engine.condition("user:the")).select("conv_id", "turn")
+
+
+@_query("show_term", f"WITH {_D} SELECT doc_id, {_has('that')} AS contains FROM d")
+def _(spark, sf_dir):
+    return Engine(_docs(spark, sf_dir)).contains("that")
+
+
+@_query("doc_freq", f"WITH {_D}, {_P} SELECT gram, count(*) AS df, round(count(*) / (SELECT count(*) FROM d), 9) AS frequency FROM p GROUP BY gram")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return statistics.document_frequency(text.postings(d), d).select("gram", "df", F.round("frequency", 9).alias("frequency"))
+
+
+@_query("doc_freq_by_lang", f"WITH {_D}, {_P} SELECT lang, gram, count(*) AS df, round(count(*) / any_value(n), 9) AS frequency FROM p JOIN (SELECT lang, count(*) AS n FROM d GROUP BY lang) s USING (lang) GROUP BY lang, gram HAVING count(*) / any_value(n) >= 0.01")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return statistics.document_frequency(text.postings(d, 1, "lang"), d, ["lang"], 0.01).select("lang", "gram", "df", F.round("frequency", 9).alias("frequency"))
+
+
+@_query("doc_freq_bigram", f"WITH {_D}, b AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS gram FROM d) SELECT gram, count(*) AS df FROM b GROUP BY gram HAVING count(*) >= 3")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return statistics.document_frequency(text.postings(d, 2).where("gram_size = 2"), d).where("df >= 3").select("gram", "df")
+
+
+_F = "f AS (SELECT gram, count(*) AS df, (SELECT count(*) FROM d) AS n FROM p GROUP BY gram)"
+
+
+@_query("idf_x10", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(least(60, floor(10 * log10(n / df) + 0.5)) AS INTEGER) AS idf FROM f")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return statistics.document_frequency(text.postings(d), d).select("gram", scalar.idf_x10(F.col("df"), F.col("n")).alias("idf"))
+
+
+@_query("freq_at_rank", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(r AS INTEGER) AS rank, round(CASE WHEN r = 0 THEN df / n ELSE 1 - pow(1 - df / n, pow(2, r)) END, 9) AS frequency FROM f, range(0, 7) t(r) WHERE df >= 20")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    f = statistics.document_frequency(text.postings(d), d).where("df >= 20").withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return f.select("gram", "rank", F.round(scalar.frequency_at_rank(F.col("frequency"), F.col("rank")), 9).alias("frequency"))
+
+
+@_query("row_count_k", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(CASE WHEN df / n >= 0.1 THEN 1 ELSE greatest(1, ceil(ln(df / n / 10.0) / ln(0.1 - df / n))) END AS INTEGER) AS k FROM f")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return statistics.document_frequency(text.postings(d), d).select("gram", scalar.row_count(F.col("frequency"), 0.1, 10.0).alias("k"))
+
+
+@_query("length_histogram", f"WITH {_D} SELECT len(terms) AS posting_count, count(*) AS documents FROM d GROUP BY 1")
+def _(spark, sf_dir):
+    return statistics.length_histogram(_docs(spark, sf_dir))
+
+
+@_query("posting_totals", f"WITH {_D} SELECT lang, count(*) AS documents, sum(len(terms)) AS postings FROM d GROUP BY lang")
+def _(spark, sf_dir):
+    return statistics.posting_totals(_docs(spark, sf_dir), ["lang"])
+
+
+@_query("ingest_stats", f"WITH {_D} SELECT count(*) AS documents, sum(strlen(text)) AS total_bytes, round(avg(strlen(text)), 6) AS bytes_per_document, sum(len(terms)) AS postings FROM d")
+def _(spark, sf_dir):
+    got = statistics.ingest_statistics(_docs(spark, sf_dir), F.col("source_bytes"))
+    return got.withColumn("bytes_per_document", F.round("bytes_per_document", 6))
+
+
+@_query("cumulative_terms", f"WITH {_D}, {_P}, first AS (SELECT lang, gram, min(doc_id) AS doc_id FROM p GROUP BY lang, gram), new AS (SELECT lang, doc_id, count(*) AS n FROM first GROUP BY lang, doc_id) SELECT d.lang, d.doc_id, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS BIGINT) AS terms FROM d LEFT JOIN new USING (lang, doc_id)")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return statistics.cumulative_terms(text.postings(d, 1, "lang"), d, "lang")
+
+
+@_query("accumulator_by_lang", f"WITH {_D} SELECT lang, count(*) AS count, round(avg(len(terms)), 6) AS mean, min(len(terms)) AS min, max(len(terms)) AS max, round(CASE WHEN count(*) < 2 THEN 1.0 ELSE var_samp(len(terms)) END, 4) AS var FROM d GROUP BY lang")
+def _(spark, sf_dir):
+    got = _docs(spark, sf_dir).groupBy("lang").agg(*statistics.accumulate("posting_count"))
+    return got.withColumn("mean", F.round("mean", 6)).withColumn("var", F.round("var", 4))
+
+
+@_query("length_percentiles", f"WITH {_D} SELECT quantile_cont(len(terms), 0.5) AS p5, quantile_cont(len(terms), 0.9) AS p9, round(quantile_cont(len(terms), 0.99), 6) AS p99, round(quantile_cont(len(terms), 0.999), 6) AS p999, max(len(terms)) AS largest FROM d")
+def _(spark, sf_dir):
+    got = statistics.order_statistics(_docs(spark, sf_dir), "posting_count")
+    return got.withColumn("p99", F.round("p99", 6)).withColumn("p999", F.round("p999", 6))
+
+
+_MINIMA = shards.geometric()
+_CASE = "CASE " + " ".join(f"WHEN len(terms) >= {m} THEN {k}" for k, m in reversed(list(enumerate(_MINIMA)))) + " END"
+
+
+@_query("shard_assign", f"WITH {_D} SELECT doc_id, CAST({_CASE} AS INTEGER) AS shard_id FROM d")
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", scalar.shard_of(F.col("posting_count"), _MINIMA).alias("shard_id"))
+
+
+@_query("shard_density", f"WITH {_D} SELECT CAST({_CASE} AS INTEGER) AS shard_id, count(*) AS documents, sum(len(terms)) AS postings FROM d GROUP BY 1")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("shard_id", scalar.shard_of(F.col("posting_count"), _MINIMA))
+    return statistics.posting_totals(d, ["shard_id"])
+
+
+@_query("filter_posting_count", f"WITH {_D} SELECT doc_id FROM d WHERE len(terms) BETWEEN 20 AND 100")
+def _(spark, sf_dir):
+    return filters.by_posting_count(_docs(spark, sf_dir), 20, 100).select("doc_id")
+
+
+@_query("filter_first_n", f"WITH {_D} SELECT doc_id FROM d WHERE len(terms) >= 20 ORDER BY doc_id LIMIT 50")
+def _(spark, sf_dir):
+    return filters.first_documents(filters.by_posting_count(_docs(spark, sf_dir), 20, 1 << 30), 50).select("doc_id")
+
+
+@_query("filter_random")
+def _(spark, sf_dir):
+    return filters.at_random(_docs(spark, sf_dir), 0.5, 3).select("doc_id")
+
+
+@_query("every_20th", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS n FROM documents) WHERE n % 20 = 0")
+def _(spark, sf_dir):
+    return filters.every(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "doc_id"), 20, "lang", "doc_id")
+
+
+@_query("annotate_shards", f"WITH {_D} SELECT doc_id, CASE WHEN len(terms) + 1 >= 100 THEN 'SHARD_100_max' WHEN len(terms) + 1 >= 20 THEN 'SHARD_20_99' ELSE 'SHARD_0_19' END AS mark FROM d")
+def _(spark, sf_dir):
+    return filters.mark_shard(_docs(spark, sf_dir), [0, 20, 100]).select("doc_id", F.element_at("terms", -1).alias("mark"))
+
+
+LOG = {"q1": "the", "q2": "the and", "q3": "der | les", "q4": "the -that", "q5": "(the | der) -(and | und)", "q6": "-the", "q7": '"of the" -that', "q8": "zzzz"}
+_LOG_SQL = {"q1": _has("the"), "q2": f"{_has('the')} AND {_has('and')}", "q3": f"{_has('der')} OR {_has('les')}", "q4": f"{_has('the')} AND NOT {_has('that')}", "q5": f"({_has('the')} OR {_has('der')}) AND NOT ({_has('and')} OR {_has('und')})", "q6": f"NOT {_has('the')}", "q7": f"{_phrase('of', 'the')} AND NOT {_has('that')}", "q8": _has("zzzz")}
+_LOG_ROWS = " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM d WHERE {c}" for q, c in _LOG_SQL.items())
+
+
+@_query("query_log_batch", f"WITH {_D} {_LOG_ROWS}")
+def _(spark, sf_dir):
+    return batch.run_log(_docs(spark, sf_dir), LOG)
+
+
+@_query("query_log_summary", f"WITH {_D}, m AS ({_LOG_ROWS}) SELECT q.query, count(m.doc_id) AS matches FROM (SELECT unnest({list(LOG)!r}) AS query) q LEFT JOIN m USING (query) GROUP BY q.query")
+def _(spark, sf_dir):
+    return batch.log_summary(batch.run_log(_docs(spark, sf_dir), LOG), LOG)
+
+
+@_query("verify_confusion", f"WITH {_D}, e AS (SELECT doc_id FROM d WHERE {_has('the')} AND {_has('and')}), o AS (SELECT doc_id FROM d WHERE {_has('the')}) SELECT 'q2' AS query, count(e.doc_id + o.doc_id) AS true_positives, count(*) FILTER (e.doc_id IS NULL) AS false_positives, count(*) FILTER (o.doc_id IS NULL) AS false_negatives FROM e FULL JOIN o USING (doc_id)")
+def _(spark, sf_dir):
+    engine = Engine(_docs(spark, sf_dir))
+    loose = engine.query("the").select(F.lit("q2").alias("query"), "doc_id")
+    return engine.verify({"q2": "the and"}, loose).select("query", "true_positives", "false_positives", "false_negatives")
+
+
+def _dft(lang: str) -> str:
+    return f"(SELECT gram, count(*) / (SELECT count(*) FROM d WHERE lang = '{lang}') AS frequency FROM p WHERE lang = '{lang}' GROUP BY gram)"
+
+
+@_query("dft_compare", f"WITH {_D}, {_P} SELECT gram, round(coalesce(a.frequency, 1e-8), 9) AS \"left\", round(coalesce(b.frequency, 1e-8), 9) AS \"right\" FROM {_dft('en')} a FULL JOIN {_dft('de')} b USING (gram)")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    en, de = (statistics.document_frequency(text.postings(x), x) for x in (d.where("lang = 'en'"), d.where("lang = 'de'")))
+    return statistics.compare_frequencies(en, de).select("gram", F.round("left", 9).alias("left"), F.round("right", 9).alias("right"))
+
+
+_LISTED = ["the", "and", "to", "that", "in", "is", "on", "der", "die", "les"]
+
+
+@_query("term_cooccurrence", f"WITH {_D}, {_P}, l AS (SELECT * FROM p WHERE gram IN {tuple(_LISTED)!r}) SELECT a.gram AS \"left\", b.gram AS \"right\", count(*) AS shared FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY 1, 2 HAVING count(*) >= 2")
+def _(spark, sf_dir):
+    return statistics.cooccurrence(text.postings(_docs(spark, sf_dir)), spark.createDataFrame([(x,) for x in _LISTED], "gram string"))
+
+
+@_query("signature_density", f"WITH {_D}, {_P} SELECT gram AS row, count(*) AS ones FROM p WHERE gram IN {tuple(_LISTED)!r} GROUP BY gram")
+def _(spark, sf_dir):
+    d = signatures.number_documents(_docs(spark, sf_dir))
+    p = d.select("doc_index", F.explode("terms").alias("gram"))
+    rows = spark.createDataFrame([(x, 0, x) for x in _LISTED], "gram string, rank int, row string")
+    return signatures.row_density(signatures.signature(p, rows), 1).select("row", "ones")
+
+
+@_query("signature_match", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('the')} AND {_has('with')} AND NOT {_has('that')}")
+def _(spark, sf_dir):
+    from termweave.plans.parser import parse
+
+    engine = Engine(signatures.number_documents(_docs(spark, sf_dir)))
+    f = statistics.document_frequency(engine.docs.select("doc_id", F.explode("terms").alias("gram"), F.lit(1).alias("gram_size")), engine.docs)
+    f = f.where(F.col("gram").isin("the", "with", "that")).withColumn("idf_x10", scalar.idf_x10(F.col("df"), F.col("n")))
+    rows = signatures.term_rows(f, signatures.private_shared_rank0_and_3(0.1, 10.0), 0.1)
+    bits = signatures.signature(engine.docs.select("doc_index", F.explode("terms").alias("gram")), rows)
+    query = "the with -that"
+    return signatures.candidates(engine.docs, bits, rows, parse(query), ["the", "with", "that"]).where(engine.condition(query)).select("doc_id")
+
+
+@_query("delete_then_query", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('the')} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def _(spark, sf_dir):
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0")
+    return Engine(_docs(spark, sf_dir), deleted=gone).query("the")
+
+
+@_query("escape_terms", r"""SELECT item_id, regexp_replace(text, '([ \t\f\v&|\\()":-])', '\\\1', 'g') AS escaped FROM benchmark""")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.escape(F.col("text")).alias("escaped"))
+
+
+@_query("csv_extract", "SELECT p_name, p_partkey FROM part")
+def _(spark, sf_dir):
+    from termweave.sources.delimited import extract_columns
+
+    return extract_columns(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_name", "p_partkey"])
+
+
+@_query("column_total", "SELECT sum(p_size) AS total FROM part")
+def _(spark, sf_dir):
+    return statistics.column_sum(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_size")
+
+
+@_query("prime_corpus", "SELECT i AS doc_id FROM range(4096) t(i) WHERE i > 0 AND i % 6 = 0 AND i % 5 <> 0")
+def _(spark, sf_dir):
+    from termweave.sources.synthetic import prime_factors
+
+    return Engine(prime_factors(spark, 4096)).query("2 3 -5")
