@@ -38,7 +38,7 @@ WITH parts AS (
 canonical AS (
   SELECT page_id, host, path, lower(regexp_replace(host, '\.?(:80|:443)?$', '') || path || query) AS canonical FROM parts),
 judged AS (
-  SELECT page_id, host, path, {_rule_case("rule")} AS rule, {_rule_case("verdict")} AS ruled, {_GLOB_CASE} AS glob FROM canonical)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN glob IS NULL THEN 'allow' ELSE 'block' END) AS verdict, glob FROM judged
+  SELECT page_id, host, path, {_rule_case("rule")} AS rule, {_rule_case("verdict")} AS ruled, {_GLOB_CASE} AS pattern FROM canonical)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern FROM judged
 """
 }

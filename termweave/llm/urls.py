@@ -105,7 +105,7 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, globs: tuple[str, ...] = GLOBS) -> DataFrame:
-    """page_id, host, path, rule, verdict and the glob that blocked."""
+    """page_id, host, path, rule, verdict and the first glob that fits (pattern)."""
     kind = pages.schema["page_id"].dataType.simpleString()
     url = F.col("url")
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), _query_of(url).alias("query"))
@@ -117,11 +117,11 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, gl
         for b in batches:
             got = automaton.matches(*raw(b.column("canonical")))
             cols = {n: b.column(n) for n in ("page_id", "host", "path", "rule", "ruled")}
-            yield pa.RecordBatch.from_pydict(cols | {"glob": pa.array([globs[k] if k >= 0 else None for k in got], pa.string())})
+            yield pa.RecordBatch.from_pydict(cols | {"pattern": pa.array([globs[k] if k >= 0 else None for k in got], pa.string())})
 
-    found = parts.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, ruled string, glob string")
-    verdict = F.coalesce("ruled", F.when(F.col("glob").isNotNull(), "block").otherwise("allow"))
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "glob")
+    found = parts.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, ruled string, pattern string")
+    verdict = F.coalesce("ruled", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "pattern")
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
