@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -47,6 +48,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Drops most rows whose key (a 64-bit hash) isn't wanted, before a join that drops the rest.
+
+    A bitmap of wanted keys modulo its size is broadcast: 2 ** 20 words of 64 bits at most, whatever the data.
+    Nothing wanted is dropped. wanted should be a written table, as it is read here and by the join.
+    """
+    words = 1 << min(20, max(6, (wanted.count() // 4 + 1).bit_length()))
+
+    def word(c: str):
+        return F.pmod(F.shiftright(c, 6), F.lit(words))
+
+    bit = F.expr(f"shiftleft(1L, cast({wanted_key} & 63 as int))")
+    bits = wanted.select(word(wanted_key).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = F.expr(f"shiftrightunsigned(_bits, cast({key} & 63 as int)) & 1L")
+    return rows.join(F.broadcast(bits), word(key) == F.col("_word")).where(met == 1).drop("_word", "_bits")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most this many rows, for columns with long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import Prefix, mix, raw, slices, small_batches, stage, table
+from termweave.llm.common import Prefix, mix, raw, sieve, slices, small_batches, stage, table
 
 LENGTH, GRAM = 400, 200
 _SLICE = 1 << 20
@@ -177,9 +177,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> t
     known = named.groupBy("name").agg(F.sum(F.col("more") + 1).alias("n")).where("n > 1").select("name")
     wanted = named.join(known, "name").groupBy("t").agg(F.collect_list("name").alias("names"))
     wanted = wanted.join(texts.select(short, F.col("id"), F.col("t").alias("full")), "t").select("t", "names", F.xxhash64("id", "full").alias("_k"))
+    wanted = stage(wanted, "wanted")
     found = docs.select("doc_id", "text").withColumn("_h", text_hash())
     found = found.select("text", F.substring("_h", 1, 16).alias("_t"), F.xxhash64("doc_id", "_h").alias("_k2"))
-    held = found.join(wanted, (F.col("_k") == F.col("_k2")) & (F.col("t") == F.col("_t"))).dropDuplicates(["_k", "t"]).select("t", "text", "names")
+    held = sieve(found, "_k2", wanted, "_k").join(wanted, (F.col("_k") == F.col("_k2")) & (F.col("t") == F.col("_t"))).dropDuplicates(["_k", "t"]).select("t", "text", "names")
     held = stage(held, "held")
 
     segments = stage(_segments(held, length, gram), "segments")
