@@ -182,7 +182,11 @@ def rule_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def calibrate(x: np.ndarray, good: np.ndarray, failed: np.ndarray, keep_share: float) -> tuple[Forest, float]:
     """The forest of these rows, and the threshold that rejects most bad rows while keep_share of good ones stay."""
     plain = x[good & ~failed] if (good & ~failed).sum() >= 8 else x
-    forest = Forest(x[~failed] if (~failed).sum() >= 8 else x, np.quantile(plain, keep_share + (1 - keep_share) / 2, axis=0))
+    # bad rows of a kind lie together and would hide each other: the forest grows with a few of them only
+    bad = np.flatnonzero(~good & ~failed)
+    few = np.random.default_rng(5).permutation(bad)[: max(1, round(len(plain) * 0.02))]
+    grown = np.vstack([plain, x[few]]) if plain is not x else x
+    forest = Forest(grown, np.quantile(plain, keep_share + (1 - keep_share) / 2, axis=0))
     odd, y = forest.score(x)[~failed], good[~failed]
     if not len(odd):
         return forest, np.inf
