@@ -37,8 +37,8 @@ TAG = "spdx license identifier"
 #: How much a label restricts reuse.
 STRICT = {"cc0": 0.05, "public-domain": 0.05, "unlicense": 0.05, "mit": 0.1, "isc": 0.1, "bsd": 0.1, "apache": 0.15, "cc-by": 0.2, "mpl": 0.35, "lgpl": 0.35, "epl": 0.4, "cc-by-sa": 0.4, "gpl": 0.5, "agpl": 0.6, "cc-by-nc": 0.7, "cc-by-nd": 0.8, "proprietary": 1.0, "reserved": 1.0}
 _IDS = [("cc0", "cc0"), ("cc-by-nc", "cc-by-nc"), ("cc-by-nd", "cc-by-nd"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("0bsd", "bsd"), ("isc", "isc"), ("mpl", "mpl"), ("epl", "epl"), ("unlicense", "unlicense")]
-_LINE = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\r\n]{0,400})", re.I)
-_PART = re.compile(r"[()]|[^\s()]+")
+_MARK = re.compile(r"spdx-license-identifier\s*:?[ \t]*", re.I)
+_PART = re.compile(r"[^\S\r\n]*([()]|[^\s()]+)")
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -50,8 +50,15 @@ def label_of(identifier: str) -> str | None:
     return next((label for start, label in _IDS if identifier.lower().startswith(start)), None)
 
 
-def evaluate(expression: str) -> tuple[set[str], float]:
-    """Labels in a licence expression and how strict it is; `with` binds first, then and, then or.
+def _parts(text: str, at: int) -> Iterator[str]:
+    """Operands, operators and parentheses from a place to the end of its line, as they are asked for."""
+    while m := _PART.match(text, at):
+        yield m[1]
+        at = m.end()
+
+
+def evaluate(text: str, at: int = 0) -> tuple[set[str], float]:
+    """Labels in the licence expression there and how strict it is; `with` binds first, then and, then or.
 
     >>> evaluate("MIT OR (GPL-2.0 WITH Classpath-exception-2.0 AND BSD-3-Clause)")[1]
     0.1
@@ -64,7 +71,7 @@ def evaluate(expression: str) -> tuple[set[str], float]:
 
     wanted = True  # an operand is
     try:
-        for part in _PART.findall(expression):
+        for part in _parts(text, at):
             low = part.lower()
             if low in rank:
                 if wanted:
@@ -118,8 +125,8 @@ def scan(text: str, a: ahocorasick.Automaton) -> tuple[int, int | None, int | No
             n, first, last = n + 1, at if first is None else min(first, at), at if last is None else max(last, at)
             base.add(label)
     if tagged:
-        for m in _LINE.finditer(text):
-            more, s = evaluate(m[1])
+        for m in _MARK.finditer(text):
+            more, s = evaluate(text, m.end())
             labels |= more
             strict = max(strict, s)
     if base:  # "cc by" is also the beginning of stricter terms, which count above

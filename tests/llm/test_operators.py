@@ -188,6 +188,8 @@ def test_license_scan():
     a = licenses.automaton()
     assert licenses.scan("Licensed under CC BY-NC 4.0. All rights\nreserved", a)[:4] == (2, 2, 7, {"cc-by", "reserved"})
     assert licenses.scan("// SPDX-License-Identifier: MIT OR Apache-2.0", a)[4:] == ({"mit", "apache"}, 0.1)
+    two = "spdx-license-identifier: MIT " + "x " * 500 + "SPDX-License-Identifier: (" + "ISC AND " * 200 + "GPL-3.0)\nBSD"
+    assert licenses.scan(two, a)[4:] == ({"mit", "isc", "gpl"}, 0.5)
     assert licenses.evaluate("(MIT AND GPL-2.0 WITH x) OR CC0-1.0")[1] == 0.05
     assert licenses.evaluate("MIT AND (")[0] == {"mit"} and licenses.scan("", a)[0] == 0
 
