@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
@@ -65,6 +65,11 @@ def sieve(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Data
     return rows.join(F.broadcast(bits), word(key) == F.col("_word")).where(met == 1).drop("_word", "_bits")
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one, so that none clashes with a column that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most this many rows, for columns with long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import stage, table
+from termweave.llm.common import stage, table, whole_row
 
 SHARD = 128
 #: A plan of more rows than this is joined without broadcasting it.
@@ -145,18 +145,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes words of, once for each begun pass over them.
 
-    The copies of a row that is taken twice are two rows. Where rows share doc_id and text they share their
-    takes; each stays as often as the sum of their passes says, one by one.
+    The copies of a row that is taken twice are two rows. Where rows share doc_id, text and source they share their
+    takes: each stays as often as the mean of their passes, rounded up.
     """
-    spark_cols = docs.columns
     mix = mix_sources(docs, **options).where("taken > 0")
     key = F.xxhash64(F.lit(options.get("seed", 20240229)), F.col("doc_id"), F.col("text"))
-    takes = mix.select(F.col("lot").alias("_lot"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    takes = takes.groupBy("_lot", "_id", "_src").agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_lot", key)
-    joined = rows.join(takes.withColumnsRenamed({"_lot": "l", "_id": "i", "_src": "c"}), (F.col("_lot") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("c")))
-    each = F.ceil(F.col("_n") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*[F.col(f"`{c}`") for c in spark_cols])
+    takes = mix.select("lot", F.col("doc_id").alias("id"), "source", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("n"))
+    takes = takes.groupBy("lot", "id", "source").agg(F.ceil(F.sum("n") / F.count("*")).cast("int").alias("each"))
+    rows = docs.select(whole_row(docs), key.alias("key"), F.col("doc_id").alias("own"), F.col("source").alias("from"))
+    same = (F.col("key") == F.col("lot")) & F.col("own").eqNullSafe(F.col("id")) & F.col("from").eqNullSafe(F.col("source"))
+    return rows.join(takes, same).select("row", F.explode(F.sequence(F.lit(1), F.col("each")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

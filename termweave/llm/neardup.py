@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import Prefix, grams, mix, raw, slices, small_batches, stage, table
+from termweave.llm.common import Prefix, grams, mix, raw, slices, small_batches, stage, table, whole_row
 from termweave.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -242,16 +242,15 @@ def _classes(marked: DataFrame, comp: DataFrame | None) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents with one row of each class, all columns kept."""
     found = stage(near_duplicates(docs, **options), "classes")
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "class_size").withColumn("_k", F.xxhash64("_id", "_t"))
-    cols = docs.columns
-    rows = docs.withColumn("_t2", text_key()).withColumn("_k2", F.xxhash64("doc_id", "_t2"))
-    on = (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2"))
-    got = rows.join(kept.dropDuplicates(["_id", "_t"]), on)
+    kept = found.where("kept").select(F.col("doc_id").alias("id"), "t", "class_size").dropDuplicates(["id", "t"]).withColumn("k", F.xxhash64("id", "t"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("own"), text_key().alias("t2")).withColumn("k2", F.xxhash64("own", "t2"))
+    on = (F.col("k") == F.col("k2")) & F.col("own").eqNullSafe(F.col("id")) & (F.col("t2") == F.col("t"))
+    got = rows.join(kept, on).select("row", "k2", "t2", "class_size")
     if not found.where("kept AND class_size > 1").groupBy("doc_id", "t").count().where("count > 1").isEmpty():
-        # rows that are copies with the same doc_id: the first by content stays
-        n = F.row_number().over(Window.partitionBy("_k2", "_t2").orderBy(*[F.col(f"`{c}`") for c in cols if c != "text"]))
-        got = got.withColumn("_n", n).where("_n = 1 OR class_size = 1")
-    return got.select(*[F.col(f"`{c}`") for c in cols])
+        # rows that are copies with the same doc_id: the least by content stays
+        one = got.where("class_size > 1").groupBy("k2", "t2").agg(F.min("row").alias("row"))
+        got = got.where("class_size = 1").select("row").union(one.select("row"))
+    return got.select("row.*")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

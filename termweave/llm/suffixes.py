@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import Prefix, mix, raw, sieve, slices, small_batches, stage, table
+from termweave.llm.common import Prefix, mix, raw, sieve, slices, small_batches, stage, table, whole_row
 
 LENGTH, GRAM = 400, 200
 _SLICE = 1 << 20
@@ -237,10 +237,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = stage(_cut(texts, length, True).select(F.col("t").alias("_t"), "kept"), "cut")
     copied = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.substring("t", 1, 16).alias("_t"), F.lit("").alias("kept")).distinct()
     new = stage(cut.join(copied, "_t", "left_anti").union(copied), "changed")
-    got = docs.withColumn("_h", F.substring(text_hash(), 1, 16)).join(new, F.col("_h") == F.col("_t"), "left")
-    text = F.when(F.col("_t").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    cols = {"text": text, "n_chars": F.when(F.col("_t").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return got.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    got = docs.select(whole_row(docs), F.substring(text_hash(), 1, 16).alias("_h")).join(new, F.col("_h") == F.col("_t"), "left")
+    changed = F.col("_t").isNotNull()
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    cols["text"] = F.when(changed, F.col("kept")).otherwise(cols["text"])
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return got.select(*[x.alias(c) for c, x in cols.items()])
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
