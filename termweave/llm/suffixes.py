@@ -188,7 +188,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> t
     kinds = stage(kinds, "kinds")
     several = kinds.groupBy("name").agg(F.count("*").alias("k"), F.min("many").alias("fewest")).where("k > 1 AND fewest = 1").select("name")
     parts = kinds.join(several, "name").groupBy("of.t").agg(F.collect_list(F.struct("of.start", "of.size", "name", "many")).alias("parts"))
-    prefixes = stage(_prefixes(held.join(parts, "t"), length), "prefixes")
+    prefixes = _prefixes(held.join(parts, "t"), length)  # computed twice: as files they would be the largest here
     twice = prefixes.groupBy("name", "prefix").agg(F.sum("many").alias("n")).where("n > 1").select("name", "prefix")
     single = prefixes.where("many = 1").join(twice, ["name", "prefix"], "left_semi").select("t", F.struct("start", F.lit(1).alias("size")).alias("r"))
     whole = segments.join(kinds.where("many > 1").select("name", "segment"), ["name", "segment"], "left_semi")
