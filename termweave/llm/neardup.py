@@ -11,8 +11,10 @@ point is above the document's largest component.
 Texts that agree in a band are candidates. Buckets are worked off by components: in each round, buckets whose
 texts lie in more than one component compare some representatives (twice as many each round) with their
 members in other components; pairs are checked once, on whole texts. A bucket of copies needs one round, and in
-the end every pair of a bucket is checked or connected, so no link is lost that the bands show. With 30 bands
-of 5, a pair at similarity 0.8 shares a band with probability 1 - 7e-6.
+the end every pair of a bucket is checked or connected, or their whole signatures tell that they aren't similar:
+after the first round, pairs are checked only if their signatures agree in as many components as all but one in
+1e7 of the pairs at the threshold do. With 30 bands of 5, a pair at similarity 0.8 shares a band with
+probability 1 - 7e-6.
 
 Defined cases: null, empty and wordless texts are in no group (class_id is their own doc_id); exact copies are
 one text from the start; repeated rows are copies; null doc_ids take part, and a group's class_id is its
@@ -36,6 +38,7 @@ from termweave.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SMALL = 6
+BITS = 4
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -101,8 +104,8 @@ def bag_minhash(keys: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: int
     return least.reshape(docs, size)
 
 
-def signatures(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x bands, int64), and which texts have words."""
+def signatures(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys (texts x bands, int64), which texts have words, and their sketches: BITS bits of each component."""
     g, owner = shingles(texts)
     key = mix(g ^ mix(owner.astype(np.uint64) + np.uint64(1)))
     _, at, weight = np.unique(key, return_index=True, return_counts=True)
@@ -113,7 +116,23 @@ def signatures(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[n
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + bits[:, :, j])
     has = np.zeros(len(texts), bool)
     has[owner] = True
-    return out.view(np.int64), has
+    flat = mix(bits.reshape(len(texts), -1))
+    pad = np.zeros((len(texts), -flat.shape[1] % 64), np.uint8)
+    sketch = [np.packbits(np.hstack([((flat >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), pad]), axis=1).view(np.int64) for b in range(BITS)]
+    return out.view(np.int64), has, np.hstack(sketch)
+
+
+def disagreeing(a: str, b: str, components: int = BANDS * ROWS) -> Column:
+    """In how many components two sketches differ."""
+    words = -(-components // 64)
+    slices_ = [" | ".join(f"({a}[{k * words + w}] ^ {b}[{k * words + w}])" for k in range(BITS)) for w in range(words)]
+    return F.expr(" + ".join(f"bit_count({x})" for x in slices_))
+
+
+def most_disagreeing(similarity: float, components: int = BANDS * ROWS, deviations: float = 5.5) -> int:
+    """As many components as two texts at the threshold disagree in, but for one pair in 1e7."""
+    p = (1 - similarity) * (1 - 0.5**BITS)
+    return int(np.ceil(components * p + deviations * np.sqrt(components * p * (1 - p))))
 
 
 def text_key(text: str = "text") -> Column:
@@ -122,17 +141,19 @@ def text_key(text: str = "text") -> Column:
 
 
 def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, t (text_key) and bands (null for texts without words), a row each."""
+    """doc_id, t (text_key), bands (null for texts without words) and sketch, a row each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            keys, has = signatures(b.column("text"), bands, rows)
+            keys, has, sketch = signatures(b.column("text"), bands, rows)
+            width = sketch.shape[1]
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(b) + 1) * width, width), pa.int32()), pa.array(sketch.reshape(-1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(b) + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
             lists = pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "bands": lists})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "bands": lists, "sketch": sketch})
 
-    return docs.select("doc_id", "text", text_key().alias("t")).mapInArrow(run, f"doc_id {kind}, t binary, bands array<long>")
+    return docs.select("doc_id", "text", text_key().alias("t")).mapInArrow(run, f"doc_id {kind}, t binary, bands array<long>, sketch array<long>")
 
 
 def overlap(a: str, b: str) -> float:
@@ -181,11 +202,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         wanted = wanted.select(F.xxhash64("id", "t").alias("_k2"), F.col("t").alias("_t"))
         texts = found.join(wanted, (F.col("_k") == F.col("_k2")) & (F.col("t") == F.col("_t")), "left_semi")
         texts = stage(texts.dropDuplicates(["t"]).select("t", "text"), "texts")
-        comp = _connect(members, texts, similarity, rounds)
+        sketches = marked.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("sketch").alias("sketch"))
+        comp = _connect(members, texts, stage(sketches, "sketches"), similarity, rounds, bands * rows)
     return _classes(marked, comp)
 
 
-def _connect(members: DataFrame, texts: DataFrame, similarity: float, rounds: int) -> DataFrame | None:
+def _connect(members: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float, rounds: int, components_: int) -> DataFrame | None:
     """Components (node, component) of the texts that share buckets and are similar."""
     seen = links = comp = None
     open_ = members
@@ -194,7 +216,8 @@ def _connect(members: DataFrame, texts: DataFrame, similarity: float, rounds: in
         # 4 ** k representatives, or all members where a bucket has no more, against members in other components
         at = open_.withColumn("c", F.col("t")) if comp is None else open_.join(comp.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
         split = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        at = stage(at.join(split, "key"), "open")
+        at = at.join(split, "key")
+        at = stage(at if k == 0 else at.join(sketches, "t"), "open")
         if at.isEmpty():
             break
         if k == 0:
@@ -206,8 +229,9 @@ def _connect(members: DataFrame, texts: DataFrame, similarity: float, rounds: in
         else:
             lot = F.xxhash64("key", "t", F.lit(k))
             bar = F.least(F.lit(1.0), F.lit(float(4**k)) / F.col("n"))
-            head = at.where((F.pmod(lot, F.lit(1 << 30)) / F.lit(float(1 << 30)) < bar) | (F.col("n") <= 4**k)).select("key", F.col("t").alias("h"), F.col("c").alias("hc"))
-            pairs = at.join(head, "key").where("c <> hc AND t <> h").select(F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b"))
+            head = at.where((F.pmod(lot, F.lit(1 << 30)) / F.lit(float(1 << 30)) < bar) | (F.col("n") <= 4**k)).select("key", F.col("t").alias("h"), F.col("c").alias("hc"), F.col("sketch").alias("hs"))
+            near = disagreeing("sketch", "hs", components_) <= most_disagreeing(similarity, components_)
+            pairs = at.join(head, "key").where("c <> hc AND t <> h").where(near).select(F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b"))
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
