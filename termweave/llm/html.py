@@ -298,7 +298,7 @@ def infer_wrappers(pages: DataFrame, spread: int = 32) -> DataFrame:
     def rows(found: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([json.dumps(w) for w in found.values()], pa.string())})
 
-    def merged(key, group: pa.Table) -> pa.Table:
+    def merged(key: tuple, group: pa.Table) -> pa.Table:  # all hints are needed: Spark reads them
         w = None
         for text in sorted(group.column("wrapper").to_pylist()):
             w = json.loads(text) if w is None else merge(w, json.loads(text))

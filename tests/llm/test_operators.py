@@ -184,6 +184,22 @@ def test_html_main_text():
     assert html.expression(w) == "<article>(<h1>#</>)?(<p>#</>)+</>"
 
 
+def test_html_by_host(spark):
+    def page(body, box="div class=story"):
+        return f"<body><nav><a href=x>menu item</a></nav><{box}><p>{body}</p><p>more of {body}</p></{box.split()[0]}><div class=sidebar><p>aside</p></div><footer>end</footer>"
+
+    cases = [(i, f"http://a.org/{i}", page(f"story {i} " * 20)) for i in range(12)]
+    cases += [(12, None, None), (13, "http://b.org", ""), (14, "odd", "plain text"), (14, "odd", "plain text"), (None, "http://c.org/", "<article><p>one</p>two &lt; three</article>"), (15, "http://b.org/x", page("é" * 50_000, "article"))]
+    df = spark.createDataFrame([(*c, "clash", "clash") for c in cases], "page_id long, url string, html string, host string, article string")
+    got = {(r.page_id, r.url): r.text for r in html.extract(df).collect()}
+    for i in range(12):
+        body = ("story %d " % i * 20).strip()
+        assert got[i, f"http://a.org/{i}"] == f"{body}\nmore of {body}"
+    assert got[12, None] == got[13, "http://b.org"] == "" and got[14, "odd"] == "plain text" and got[None, "http://c.org/"] == "one\ntwo < three"
+    assert len(got[15, "http://b.org/x"]) == 100_009 and html.extract(df).count() == len(cases)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_repeats_equal_brute_force(docs):
     texts, n = [(t or "").encode() for t in corpus()], 40
     count = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
