@@ -15,6 +15,8 @@ prefixes of `length` bytes is asked for, so that names are fingerprints and the
 
 Identical texts are one text from the start. Why the plain scheme isn't used is in the README, with figures.
 
+Lengths are in bytes, or in words: a window of so many words goes from a word's first byte to a word's last one.
+
 Defined cases: null and empty texts have 0 bytes and nothing removed; repeated rows are copies, and all bytes of
 copies of `length` bytes or more are removed; null doc_ids pass through; an empty table gives an empty table.
 """
@@ -29,19 +31,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import Prefix, mix, raw, sieve, slices, small_batches, stage, table, whole_row
+from termweave.llm.common import Prefix, mix, raw, sieve, slices, small_batches, stage, table, whole_row, word_spans
 
 LENGTH, GRAM = 400, 200
 _SLICE = 1 << 20
 
 
-def sampled(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
+class Units:
+    """A buffer's bytes, or its words with what lies between them: borders of documents, fingerprints of spans."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, words: bool):
+        self.words, self._prefix, self.off = words, Prefix(buf), off
+        if words:
+            self._start, self._end, self.off = word_spans(buf, off)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._prefix.spans(self._start[start], self._end[end - 1]) if self.words else self._prefix.spans(start, end)
+
+    def windows(self, size: int) -> np.ndarray:
+        if not self.words:
+            return self._prefix.windows(size)
+        n = max(0, len(self._start) - size + 1)
+        return self._prefix.spans(self._start[:n], self._end[size - 1 : size - 1 + n])
+
+
+def sampled(units: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of whole prefixes, the first sampled position at or after each, and all grams' fingerprints."""
-    prefix = Prefix(buf)
-    value = prefix.windows(gram)
+    off, value = units.off, units.windows(gram)
     spare = length - gram + 1
-    if len(buf) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), value, prefix
+    if off[-1] < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), value
     least, where, span = value, np.arange(len(value), dtype=np.int32), 1
     while span < spare:  # the least of `span` grams, the leftmost of equals
         step = min(span, spare - span)
@@ -52,7 +71,7 @@ def sampled(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
         span += step
     doc_end = np.repeat(off[1:], np.diff(off))
     starts = np.flatnonzero(np.arange(len(least)) + length <= doc_end[: len(least)])
-    return starts, where[starts].astype(np.int64), value, prefix
+    return starts, where[starts].astype(np.int64), value
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.ListArray:
@@ -61,14 +80,15 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def sample_texts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, t (SHA-256), n_bytes and the names at the text's sampled positions: all, and those met twice."""
+def sample_texts(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
+    """doc_id, t (SHA-256), n_units (bytes or words) and the names at the text's sampled positions: all, and those met twice."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", _SLICE):
-            buf, off = raw(b.column("text"))
-            _, at, value, _ = sampled(buf, off, length, gram)
+            units = Units(*raw(b.column("text")), words)
+            off = units.off
+            _, at, value = sampled(units, length, gram)
             at = np.unique(at)
             doc = np.searchsorted(off, at, "right") - 1
             order = np.lexsort((value[at], doc))
@@ -78,24 +98,25 @@ def sample_texts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             first = np.flatnonzero(new)
             twice = np.diff(np.append(first, len(name))) > 1
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column("doc_id"), "t": b.column("t"), "n_bytes": np.diff(off), "names": _lists(name[first], doc[first], len(b)), "twice": _lists(name[first][twice], doc[first][twice], len(b))}
+                {"doc_id": b.column("doc_id"), "t": b.column("t"), "n_units": np.diff(off), "names": _lists(name[first], doc[first], len(b)), "twice": _lists(name[first][twice], doc[first][twice], len(b))}
             )
 
     rows = docs.select("doc_id", "text", text_hash().alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, t binary, n_bytes long, names array<long>, twice array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, t binary, n_units long, names array<long>, twice array<long>")
 
 
 def text_hash(text: str = "text") -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _segments(texts: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
     """Of texts (t, text, names): name, segment, t, starts and size of the segments with those names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", _SLICE):
-            buf, off = raw(b.column("text"))
-            starts, at, value, prefix = sampled(buf, off, length, gram)
+            units = Units(*raw(b.column("text")), words)
+            off = units.off
+            starts, at, value = sampled(units, length, gram)
             doc = np.searchsorted(off, starts, "right") - 1
             wanted, owner = b.column("names").flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(b)), np.diff(b.column("names").offsets.to_numpy()))
             pairs = mix(wanted.view(np.uint64) ^ mix(owner.astype(np.uint64) + np.uint64(1)))
@@ -107,7 +128,7 @@ def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
             keep = np.isin(mix(name ^ mix(doc[first].astype(np.uint64) + np.uint64(1))), pairs)
             first, size, name = first[keep], size[keep], name[keep]
             begin, doc = starts[first], doc[first]
-            segment = prefix.spans(begin, begin + size - 1 + length)
+            segment = units.spans(begin, begin + size - 1 + length)
             order = np.lexsort((begin, segment, name, doc))
             begin, size, name, segment, doc = (x[order] for x in (begin, size, name, segment, doc))
             new = np.ones(len(begin), bool)
@@ -121,21 +142,20 @@ def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("t", "text", "names").mapInArrow(run, "name long, segment long, t binary, starts array<int>, size int")
 
 
-def _prefixes(texts: DataFrame, length: int) -> DataFrame:
+def _prefixes(texts: DataFrame, length: int, words: bool) -> DataFrame:
     """Of texts (t, text, parts): the fingerprint of each prefix that starts in a part, with its name and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", _SLICE):
-            buf, off = raw(b.column("text"))
-            prefix = Prefix(buf)
+            units = Units(*raw(b.column("text")), words)
             rows, out = b.column("parts"), []
             owner = np.repeat(np.arange(len(b)), np.diff(rows.offsets.to_numpy()))
             p = rows.flatten()
             begin, size, name, many = (p.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             part = np.repeat(np.arange(len(begin)), size)
             start = begin[part] + np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
-            at = start + off[owner[part]]
-            out = prefix.spans(at, at + length)
+            at = start + units.off[owner[part]]
+            out = units.spans(at, at + length)
             cut = 500_000  # rows of a batch
             for i in range(0, len(part), cut):
                 s = slice(i, i + cut)
@@ -154,10 +174,10 @@ def _null_where(values: pa.Array, nulls: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(~nulls), values, pa.scalar(None, values.type))
 
 
-def covered_runs(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs (begin, end) of bytes that prefixes of `length` bytes cover, from ranges of starts."""
-    order = np.argsort(starts, kind="stable")
-    begin, end = starts[order], (starts + sizes - 1 + length)[order]
+def covered_runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (begin, end) of bytes that spans cover."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
     reach = np.maximum.accumulate(end)
     new = np.ones(len(begin), bool)
     new[1:] = begin[1:] > reach[:-1]
@@ -165,11 +185,11 @@ def covered_runs(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np
     return begin[first], reach[np.append(first[1:], len(begin)) - 1]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, t, n_bytes, copies) and, of texts with repeats, (t, text, ranges of repeated starts)."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, n_units, copies) and, of texts with repeats, (t, text, ranges of repeated starts)."""
     gram = gram or max(1, length // 2)
     small_batches(docs.sparkSession, 1000)
-    rows = stage(sample_texts(docs, length, gram), "sample")
+    rows = stage(sample_texts(docs, length, gram, words), "sample")
     short = F.substring("t", 1, 16).alias("t")
     texts = rows.groupBy("t").agg(F.first("names").alias("names"), F.first("twice").alias("twice"), F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     texts = stage(texts, "distinct")
@@ -183,29 +203,42 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> t
     held = sieve(found, "_k2", wanted, "_k").join(wanted, (F.col("_k") == F.col("_k2")) & (F.col("t") == F.col("_t"))).dropDuplicates(["_k", "t"]).select("t", "text", "names")
     held = stage(held, "held")
 
-    segments = stage(_segments(held, length, gram), "segments")
+    segments = stage(_segments(held, length, gram, words), "segments")
     kinds = segments.groupBy("name", "segment").agg(F.sum(F.size("starts")).alias("many"), F.min(F.struct("t", F.col("starts")[0].alias("start"), "size")).alias("of"))
     kinds = stage(kinds, "kinds")
     several = kinds.groupBy("name").agg(F.count("*").alias("k"), F.min("many").alias("fewest")).where("k > 1 AND fewest = 1").select("name")
     parts = kinds.join(several, "name").groupBy("of.t").agg(F.collect_list(F.struct("of.start", "of.size", "name", "many")).alias("parts"))
-    prefixes = _prefixes(held.join(parts, "t"), length)  # computed twice: as files they would be the largest here
+    prefixes = _prefixes(held.join(parts, "t"), length, words)  # computed twice: as files they would be the largest here
     twice = prefixes.groupBy("name", "prefix").agg(F.sum("many").alias("n")).where("n > 1").select("name", "prefix")
     single = prefixes.where("many = 1").join(twice, ["name", "prefix"], "left_semi").select("t", F.struct("start", F.lit(1).alias("size")).alias("r"))
     whole = segments.join(kinds.where("many > 1").select("name", "segment"), ["name", "segment"], "left_semi")
     whole = whole.select("t", F.explode("starts").alias("start"), "size").select("t", F.struct("start", "size").alias("r"))
     ranges = whole.union(single).groupBy("t").agg(F.collect_list("r").alias("ranges"))
-    return rows.join(texts.select("t", "copies"), "t").select("doc_id", "t", "n_bytes", "copies"), held.select("t", "text").join(ranges, "t")
+    return rows.join(texts.select("t", "copies"), "t").select("doc_id", "t", "n_units", "copies"), held.select("t", "text").join(ranges, "t")
+
+
+def _spans(data: bytes, ranges: pa.ListScalar, length: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (begin, end) that ranges of starts of `length` bytes or words cover; null ranges cover none."""
+    if ranges.values is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, size = (ranges.values.field(k).to_numpy().astype(np.int64) for k in range(2))
+    last = first + size - 1 + length
+    if not words:
+        return first, last
+    start, end, _ = word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return start[first], end[last - 1]
 
 
-def _cut(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """Of texts with ranges: t, n_removed, n_spans, kept_sha256 and what is left."""
+def _cut(texts: DataFrame, lengths: dict[str, tuple[int, bool]], with_text: bool) -> DataFrame:
+    """Of texts with columns of ranges (their length, if in words): t, n_removed, n_spans, kept_sha256 and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for text, ranges in zip(b.column("text"), b.column("ranges"), strict=True):
-                data, flat = text.as_py().encode("utf-8", "surrogatepass"), ranges.values
-                begin, end = covered_runs(flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64), length)
+            for text, *ranges in zip(b.column("text"), *(b.column(c) for c in lengths), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                spans = [_spans(data, r, *how) for r, how in zip(ranges, lengths.values(), strict=True)]
+                begin, end = covered_runs(*(np.concatenate(x) for x in zip(*spans, strict=True)))
                 kept = b"".join(data[a:z] for a, z in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
                 out.append((int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             removed, spans, sha, kept = zip(*out, strict=True) if out else ((), (), (), ())
@@ -217,7 +250,8 @@ def _cut(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     rows, texts = repeats(docs, length)
-    cut = _cut(texts, length, False).drop("kept").withColumnRenamed("t", "_t")
+    rows = rows.withColumnRenamed("n_units", "n_bytes")
+    cut = _cut(texts, {"ranges": (length, False)}, False).drop("kept").withColumnRenamed("t", "_t")
     got = rows.join(cut, F.substring("t", 1, 16) == F.col("_t"), "left")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return got.select(
@@ -228,14 +262,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """The documents, with all columns, without the bytes that repeated strings cover; n_chars follows the text.
 
-    A character of which only some bytes go is dropped whole.
+    Beside strings of `length` bytes, those of `words` words (if not 0) go, however short they are. Both are found
+    in the texts as they come, so that neither hides the other's. A character of which only some bytes go is
+    dropped whole.
     """
     rows, texts = repeats(docs, length)
-    cut = stage(_cut(texts, length, True).select(F.col("t").alias("_t"), "kept"), "cut")
-    copied = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.substring("t", 1, 16).alias("_t"), F.lit("").alias("kept")).distinct()
+    lengths = {"ranges": (length, False)}
+    copied = rows.where((F.col("copies") > 1) & (F.col("n_units") >= length)).select("t")
+    if words:
+        lengths["word_ranges"] = (words, True)
+        word_rows, more = repeats(docs, words, words=True)
+        more = more.select("t", F.col("text").alias("_text"), F.col("ranges").alias("word_ranges"))
+        texts = texts.join(more, "t", "full_outer").select("t", F.coalesce("text", "_text").alias("text"), *lengths)
+        copied = copied.union(word_rows.where((F.col("copies") > 1) & (F.col("n_units") >= words)).select("t"))
+    cut = stage(_cut(texts, lengths, True).select(F.col("t").alias("_t"), "kept"), "cut")
+    copied = copied.select(F.substring("t", 1, 16).alias("_t"), F.lit("").alias("kept")).distinct()
     new = stage(cut.join(copied, "_t", "left_anti").union(copied), "changed")
     got = docs.select(whole_row(docs), F.substring(text_hash(), 1, 16).alias("_h")).join(new, F.col("_h") == F.col("_t"), "left")
     changed = F.col("_t").isNotNull()

@@ -86,6 +86,27 @@ def test_repeated_passages_go(spark, docs):
         assert (r.text or "") == want and r.n_chars == len(want) and (r.text is None) == (texts()[r.doc_id] is None)
 
 
+def test_repeated_passages_of_51_words_go(spark):
+    rng = random.Random(9)
+    new = iter(rng.sample([a + b + c for a in "abcdefghij" for b in "aeioué" for c in "klmnopqrst"], 600))
+
+    def prose(n):
+        return " ".join(next(new) for _ in range(n))
+
+    passage, tiny, short, first, second = prose(51), " ".join("xyzabcdefg"[k % 10] if k % 3 else "q" for k in range(51)), prose(50), prose(30), prose(30)
+    assert len(passage.encode()) < 400 and len(tiny) == 101  # the least that 51 words can have
+    cases = [  # text, what stays
+        (f"{(a := prose(20))} {passage} {(b := prose(9))}", f"{a}  {b}"), (f"{(c := prose(3))}\n{passage}", f"{c}\n"),
+        (f"{(d := prose(5))} {tiny} {(e := prose(5))}", f"{d}  {e}"), (f"{tiny}\t{(g := prose(4))}", f"\t{g}"),
+        *((t, t) for t in (f"{prose(8)} {short} {prose(9)}", f"{prose(7)} {short} {prose(8)}")),  # 50 words stay
+        *((t, t) for t in (f"{prose(2)} {first} {second} {prose(2)}", f"{first} {prose(3)}", f"{prose(3)} {second}")),  # so do neighbours
+        (copy := prose(55), ""), (copy, ""), (None, None), ("", ""),
+    ]
+    df = spark.createDataFrame([(i, t, "x", "a", len(t or "")) for i, (t, _) in enumerate(cases)], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.suffix_duplicates(spark, df, "").collect()}
+    assert got == {i: (t, len(t or "")) for i, (_, t) in enumerate(cases)}
+
+
 def test_mixed_rows_follow_the_mix(docs):
     want = {r.doc_id: -(-r.taken // r.size) for r in mixing.mix_sources(docs).collect() if r.taken}
     assert Counter(r.doc_id for r in mixing.mixed_documents(docs).collect()) == want
