@@ -20,7 +20,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -134,7 +134,22 @@ def facts(tag: str, attributes: str) -> tuple[str, str, bool, bool]:
 KEY, PLUS, MAYBE, SLOT, CHARS, LINKS, KIDS = range(7)
 
 
-def align(a: list, b: list) -> list:
+def run_steps(step: Generator) -> object:
+    """The result of a step that yields the steps it needs: trees of any depth without recursion."""
+    open_, value = [step], None
+    while open_:
+        try:
+            step = open_[-1].send(value)
+        except StopIteration as done:
+            open_.pop()
+            value = done.value
+        else:
+            open_.append(step)
+            value = None
+    return value
+
+
+def _align(a: list, b: list) -> Generator:
     """The children of two wrappers as one list: longest common subsequence of keys, the rest optional."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -144,7 +159,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][KEY] == b[j][KEY]:
-            out.append(merge(a[i], b[j]))
+            out.append((yield _merge(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             a[i][MAYBE] = True
@@ -154,20 +169,25 @@ def align(a: list, b: list) -> list:
             b[j][MAYBE] = True
             out.append(b[j])
             j += 1
-    return folded(out)
+    return (yield _folded(out))
+
+
+def _merge(a: list, b: list) -> Generator:
+    kids = (yield _align(a[KIDS], b[KIDS])) if a[KIDS] or b[KIDS] else []
+    return [a[KEY], a[PLUS] or b[PLUS], a[MAYBE] or b[MAYBE], a[SLOT] or b[SLOT], a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], kids]
 
 
 def merge(a: list, b: list) -> list:
-    return [a[KEY], a[PLUS] or b[PLUS], a[MAYBE] or b[MAYBE], a[SLOT] or b[SLOT], a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], align(a[KIDS], b[KIDS])]
+    return run_steps(_merge(a, b))
 
 
-def folded(children: list) -> list:
+def _folded(children: list) -> Generator:
     """Neighbours of the same key become one repeated group."""
     out: list = []
     for c in children:
         if out and out[-1][KEY] == c[KEY]:
             maybe = out[-1][MAYBE] and c[MAYBE]
-            out[-1] = merge(out[-1], c)
+            out[-1] = yield _merge(out[-1], c)
             out[-1][PLUS], out[-1][MAYBE] = True, maybe
         else:
             out.append(c)
@@ -193,10 +213,9 @@ def skeleton(page: str) -> list:
             if value in _BLOCK and value not in _VOID and value not in _RAW:
                 done = path.pop()
                 kids = path[-1][KIDS]
-                if len(path) <= 60:  # deeper nesting is kept flat
-                    kids.append(done)
-                    if len(kids) > 1 and kids[-2][KEY] == done[KEY]:
-                        path[-1][KIDS] = folded(kids)
+                kids.append(done)
+                if len(kids) > 1 and kids[-2][KEY] == done[KEY]:
+                    path[-1][KIDS] = run_steps(_folded(kids))
         elif value.strip():
             path[-1][SLOT] = True
             path[-1][CHARS] += len(value)
@@ -204,9 +223,36 @@ def skeleton(page: str) -> list:
     return root
 
 
+def packed(w: list) -> str:
+    """A wrapper as JSON: its nodes in order, each with its depth in place of its children."""
+    out, todo = [], [(w, 0)]
+    while todo:
+        node, depth = todo.pop()
+        out.append([*node[:KIDS], depth])
+        todo += [(c, depth + 1) for c in reversed(node[KIDS])]
+    return json.dumps(out)
+
+
+def unpacked(text: str) -> list:
+    path: list[list] = []
+    for *facts_, depth in json.loads(text):
+        node = [*facts_, []]
+        del path[depth:]
+        if path:
+            path[-1][KIDS].append(node)
+        path.append(node)
+    return path[0]
+
+
 def expression(w: list) -> str:
     """A wrapper as a union-free regular expression."""
-    inner = ("#" if w[SLOT] else "") + "".join(expression(c) for c in w[KIDS])
+    return run_steps(_expression(w))
+
+
+def _expression(w: list) -> Generator:
+    inner = "#" if w[SLOT] else ""
+    for c in w[KIDS]:
+        inner += yield _expression(c)
     if not w[KEY]:
         return inner
     one = f"<{w[KEY]}>{inner}</>"
@@ -220,12 +266,12 @@ def article_key(w: list) -> str:
     def own(node: list) -> int:
         return node[CHARS] - 2 * node[LINKS]
 
-    def visit(node: list) -> int:
+    def visit(node: list) -> Generator:
         if node[KEY].startswith("~"):
             return 0
         text, below = own(node), 0
         for c in node[KIDS]:
-            t = visit(c)
+            t = yield visit(c)
             below += t
             if not c[KIDS] or c[KEY].split(".")[0] in ("p", "ul", "ol", "blockquote", "pre", "table", "h1", "h2", "h3", "h4"):
                 text += t  # a container's own paragraphs
@@ -235,7 +281,7 @@ def article_key(w: list) -> str:
             found.append((grade, below + own(node) if grade else text, node[KEY]))
         return own(node) + below
 
-    visit(w)
+    run_steps(visit(w))
     found = [f for f in found if f[1] > 0]
     return max(found)[2] if found else ""
 
@@ -296,13 +342,13 @@ def infer_wrappers(pages: DataFrame, spread: int = 32) -> DataFrame:
         yield rows(found)
 
     def rows(found: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([json.dumps(w) for w in found.values()], pa.string())})
+        return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([packed(w) for w in found.values()], pa.string())})
 
     def merged(key: tuple, group: pa.Table) -> pa.Table:  # all hints are needed: Spark reads them
         w = None
         for text in sorted(group.column("wrapper").to_pylist()):
-            w = json.loads(text) if w is None else merge(w, json.loads(text))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(w)]})
+            w = unpacked(text) if w is None else merge(w, unpacked(text))
+        return pa.table({"host": [key[0].as_py()], "wrapper": [packed(w)]})
 
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, "host string, wrapper string")
     parts = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(spread))).applyInArrow(merged, "host string, wrapper string")
@@ -318,7 +364,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ws = [json.loads(x) for x in b.column("wrapper").to_pylist()]
+            ws = [unpacked(x) for x in b.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_pydict({"host": b.column("host"), "article": pa.array([article_key(w) for w in ws], pa.string())})
 
     hosts = stage(infer_wrappers(pages).mapInArrow(decide, "host string, article string"), "wrappers")

@@ -200,6 +200,20 @@ def test_html_by_host(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_deep_pages(spark):
+    def page(k, depth, tag="div"):
+        return f"<body><section>tagline</section>{'<div>' * depth}<{tag} class=story><p>story {k}</p><p>more</p></{tag.split()[0]}>{'</div>' * (depth % 2 * depth)}"
+
+    for depth in (61, 200, 6000):  # closed and unclosed ones, also deeper than Python's calls
+        w = html.merge(html.skeleton(page(1, depth)), html.skeleton(page(2, depth)))
+        assert html.article_key(w) == "div.story" and html.expression(w).count("<div>") == depth
+        assert html.packed(html.unpacked(html.packed(w))) == html.packed(w)
+    cases = [(k, f"http://{depth}.org/{k}", page(k, depth, tag)) for depth, tag in ((61, "article"), (75, "div"), (3000, "div")) for k in range(4)]
+    df = spark.createDataFrame(cases, "page_id long, url string, html string")
+    got = html.extract(df).collect()
+    assert len(got) == len(cases) and all(r.text == f"story {r.page_id}\nmore" for r in got)
+
+
 def test_repeats_equal_brute_force(docs):
     texts, n = [(t or "").encode() for t in corpus()], 40
     count = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
