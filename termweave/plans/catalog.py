@@ -108,7 +108,17 @@ def _(spark, sf_dir):
 @_query("doc_freq_bigram", f"WITH {_D}, b AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS gram FROM d) SELECT gram, count(*) AS df FROM b GROUP BY gram HAVING count(*) >= 3")
 def _(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return statistics.document_frequency(text.postings(d, 2).where("gram_size = 2"), d).where("df >= 3").select("gram", "df")
+    return _bigrams(d).where("df >= 3").select("gram", "df")
+
+
+def _bigrams(d: DataFrame) -> DataFrame:
+    return statistics.document_frequency(text.postings(d, 2).where("gram_size = 2"), d)
+
+
+@_query("doc_freq_bigram_all")
+def _(spark, sf_dir):
+    """Every bigram, also those that doc_freq_bigram's SQL leaves out."""
+    return _bigrams(_docs(spark, sf_dir)).select("gram", "df")
 
 
 _F = "f AS (SELECT gram, count(*) AS df, (SELECT count(*) FROM d) AS n FROM p GROUP BY gram)"
@@ -123,10 +133,21 @@ def _(spark, sf_dir):
 @_query("freq_at_rank", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(r AS INTEGER) AS rank, round(CASE WHEN r = 0 THEN df / n ELSE 1 - pow(1 - df / n, pow(2, r)) END, 9) AS frequency FROM f, range(0, 7) t(r) WHERE df >= 20")
 def _(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    f = statistics.document_frequency(text.postings(d), d).where("df >= 20").withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return _at_ranks(statistics.document_frequency(text.postings(d), d).where("df >= 20"))
+
+
+def _at_ranks(f: DataFrame) -> DataFrame:
+    f = f.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(6))))
     return f.select("gram", "rank", F.round(scalar.frequency_at_rank(F.col("frequency"), F.col("rank")), 9).alias("frequency"))
 
 
+@_query("freq_at_rank_all")
+def _(spark, sf_dir):
+    """Every gram, also those that freq_at_rank's SQL leaves out."""
+    d = _docs(spark, sf_dir)
+    return _at_ranks(statistics.document_frequency(text.postings(d), d))
+
+
 @_query("row_count_k", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(CASE WHEN df / n >= 0.1 THEN 1 ELSE greatest(1, ceil(ln(df / n / 10.0) / ln(0.1 - df / n))) END AS INTEGER) AS k FROM f")
 def _(spark, sf_dir):
     d = _docs(spark, sf_dir)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,21 @@ def test_statistics_of_the_prime_corpus(spark):
     assert len(df) == 18 and df["2"] == 31 and df["3"] == 21
 
 
+def test_frequencies_of_all_grams(spark, tmp_path):
+    from termweave.plans.catalog import QUERIES
+
+    texts = [f"common w{i} w{i // 2}" for i in range(30)] + ["common common", "", None]
+    spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = [(t or "").split() for t in texts]
+    one = Counter(g for w in split for g in set(w))
+    two = Counter(g for w in split for g in {f"{a} {b}" for a, b in zip(w, w[1:])})
+    assert min(one.values()) < 20 and min(two.values()) < 3  # what freq_at_rank and doc_freq_bigram leave out
+    assert {tuple(r) for r in QUERIES["doc_freq_bigram_all"](spark, str(tmp_path)).collect()} == set(two.items())
+    got = {(r.gram, r.rank): r.frequency for r in QUERIES["freq_at_rank_all"](spark, str(tmp_path)).collect()}
+    want = {(g, r): 1 - (1 - n / len(texts)) ** 2**r for g, n in one.items() for r in range(7)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
 def test_shard_boundaries(spark):
     rows = spark.createDataFrame([(x,) for x in (0, 10, 399, 400, 401, 749, 750, 751, 10000)], "n int")
     got = [r[0] for r in rows.select(scalar.shard_of(F.col("n"), [0, 400, 500, 600, 750])).collect()]
