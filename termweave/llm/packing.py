@@ -58,6 +58,10 @@ class WordCache:
         got = self.bpe.encode_to_numpy("\n".join(w[1:] if w[:1] == "\n" else w for w in words) + "\n", disallowed_special=()).astype(np.uint32)
         # each word's ids end with the line feed's; a word that begins with one gets it from the word before
         ends = np.flatnonzero(got == self.line)
+        if len(ends) != len(words):  # some line feed went into another token: word by word
+            each = [self.bpe.encode_to_numpy(w[1:] if w[:1] == "\n" else w, disallowed_special=()).astype(np.uint32) for w in words]
+            got = np.concatenate([np.append(x, np.uint32(self.line)) for x in each])
+            ends = np.cumsum([len(x) + 1 for x in each]) - 1
         begin = np.concatenate([[0], ends[:-1] + 1])
         begin -= np.fromiter((w[:1] == "\n" for w in words), bool, len(words))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
@@ -74,7 +78,7 @@ class WordCache:
         """All ids of the texts in a row, and each text's end; no end ids."""
         texts = texts.fill_null("")
         # single spaces and line feeds between words: anything else is encoded whole
-        odd = pc.match_substring_regex(texts, r"[\n ]{2}|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\n ]\z|\A ")
+        odd = pc.match_substring_regex(texts, r"[\n ]{2}|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\n ]\z|\A[\n ]")
         for t in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, t))
         odd = odd.to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy() == 0)

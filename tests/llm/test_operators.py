@@ -74,6 +74,27 @@ def test_tokens_equal_the_tokenizer():
         begin = end
 
 
+def test_tokens_of_batches_with_white_space_at_the_ends():
+    """Every pair of texts with leading and trailing white space, in both orders, by a cache that knows no word yet."""
+    from tokenizers import Tokenizer
+
+    files = packing.tokenizer_files()
+    whole = Tokenizer.from_file(files[1])
+    cache = packing.WordCache(*files)
+    edges = ["", " ", "\n", "\n\n", " \n", "\n ", "\t"]
+    texts = [f"{a}x{i}{b}y{m}{c}" for i, a in enumerate(edges) for m, c in enumerate(edges) for b in (" ", "\n")]
+    want = {t: whole.encode(t, add_special_tokens=False).ids for t in texts}
+    rng = random.Random(4)
+    batches = [["x\nfoo y", "\nfoo bar"], ["\nfoo bar", "x\nfoo y"], *([a, b] for a in texts[::3] for b in texts[::5]), texts, texts[::-1], rng.sample(texts, len(texts))]
+    for batch in batches:
+        cache.clear()
+        ids, ends = cache.encode(pa.array(batch, pa.string()))
+        begin = 0
+        for t, end in zip(batch, ends.tolist(), strict=True):
+            assert ids[begin:end].tolist() == (want.get(t) or whole.encode(t, add_special_tokens=False).ids), t
+            begin = end
+
+
 def test_packing_is_gapless_and_no_worse_than_best_fit(docs):
     from tokenizers import Tokenizer
 
