@@ -8,13 +8,13 @@ levels up to w count. So the work grows with log w, and two signatures agree in
 probability of the weighted Jaccard similarity. Points come in ascending order, and a process ends when its next
 point is above the document's largest component.
 
-Texts that agree in a band are candidates. Buckets are worked off by components: in each round, buckets whose
-texts lie in more than one component compare some representatives (twice as many each round) with their
-members in other components; pairs are checked once, on whole texts. A bucket of copies needs one round, and in
-the end every pair of a bucket is checked or connected, or their whole signatures tell that they aren't similar:
-after the first round, pairs are checked only if their signatures agree in as many components as all but one in
-1e7 of the pairs at the threshold do. With 30 bands of 5, a pair at similarity 0.8 shares a band with
-probability 1 - 7e-6.
+Texts that agree in a band share a bucket. First all pairs of small buckets, and the first text of each larger
+one against its other texts, are checked on whole texts. What then remains is buckets whose texts are still in
+several components. Their texts are compared by an exact prefix filter: each text's windows are put in order of
+rarity among these texts, and two texts at the threshold share one among the first few of both, so early that
+what follows still allows the overlap. A passage that many unlike texts share is late in that order and makes no
+pair; of texts that are connected already none is compared again. With 30 bands of 5, a pair at similarity 0.8
+shares a bucket with probability 1 - 7e-6; of those that do, none is lost.
 
 Defined cases: null, empty and wordless texts are in no group (class_id is their own doc_id); exact copies are
 one text from the start; repeated rows are copies; null doc_ids take part, and a group's class_id is its
@@ -38,7 +38,6 @@ from termweave.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SMALL = 6
-BITS = 4
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -104,8 +103,8 @@ def bag_minhash(keys: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: int
     return least.reshape(docs, size)
 
 
-def signatures(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys (texts x bands, int64), which texts have words, and their sketches: BITS bits of each component."""
+def signatures(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x bands, int64), and which texts have words."""
     g, owner = shingles(texts)
     key = mix(g ^ mix(owner.astype(np.uint64) + np.uint64(1)))
     _, at, weight = np.unique(key, return_index=True, return_counts=True)
@@ -116,23 +115,7 @@ def signatures(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[n
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + bits[:, :, j])
     has = np.zeros(len(texts), bool)
     has[owner] = True
-    flat = mix(bits.reshape(len(texts), -1))
-    pad = np.zeros((len(texts), -flat.shape[1] % 64), np.uint8)
-    sketch = [np.packbits(np.hstack([((flat >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), pad]), axis=1).view(np.int64) for b in range(BITS)]
-    return out.view(np.int64), has, np.hstack(sketch)
-
-
-def disagreeing(a: str, b: str, components: int = BANDS * ROWS) -> Column:
-    """In how many components two sketches differ."""
-    words = -(-components // 64)
-    slices_ = [" | ".join(f"({a}[{k * words + w}] ^ {b}[{k * words + w}])" for k in range(BITS)) for w in range(words)]
-    return F.expr(" + ".join(f"bit_count({x})" for x in slices_))
-
-
-def most_disagreeing(similarity: float, components: int = BANDS * ROWS, deviations: float = 5.5) -> int:
-    """As many components as two texts at the threshold disagree in, but for one pair in 1e7."""
-    p = (1 - similarity) * (1 - 0.5**BITS)
-    return int(np.ceil(components * p + deviations * np.sqrt(components * p * (1 - p))))
+    return out.view(np.int64), has
 
 
 def text_key(text: str = "text") -> Column:
@@ -141,19 +124,17 @@ def text_key(text: str = "text") -> Column:
 
 
 def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, t (text_key), bands (null for texts without words) and sketch, a row each."""
+    """doc_id, t (text_key) and bands (null for texts without words), a row each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            keys, has, sketch = signatures(b.column("text"), bands, rows)
-            width = sketch.shape[1]
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(b) + 1) * width, width), pa.int32()), pa.array(sketch.reshape(-1)))
+            keys, has = signatures(b.column("text"), bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(b) + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
             lists = pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "bands": lists, "sketch": sketch})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "bands": lists})
 
-    return docs.select("doc_id", "text", text_key().alias("t")).mapInArrow(run, f"doc_id {kind}, t binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text", text_key().alias("t")).mapInArrow(run, f"doc_id {kind}, t binary, bands array<long>")
 
 
 def overlap(a: str, b: str) -> float:
@@ -186,14 +167,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return got.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = 30) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, t, class_id, class_size and kept (one row of each class)."""
     small_batches(docs.sparkSession, 500)
     marked = stage(banded(docs, bands, rows), "bands")
     distinct = marked.where("bands IS NOT NULL").groupBy("t").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("id"))
     keys = distinct.select("t", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("least")).where("n > 1")
-    members = stage(keys.join(shared, "key").select("key", "t", "n"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("head")).where("n > 1")
+    members = stage(keys.join(shared, "key").select("key", "t", "n", "head"), "buckets")
     comp = None
     if not members.isEmpty():
         wanted = marked.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.min("doc_id").alias("id"))
@@ -202,49 +183,93 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         wanted = wanted.select(F.xxhash64("id", "t").alias("_k2"), F.col("t").alias("_t"))
         texts = found.join(wanted, (F.col("_k") == F.col("_k2")) & (F.col("t") == F.col("_t")), "left_semi")
         texts = stage(texts.dropDuplicates(["t"]).select("t", "text"), "texts")
-        sketches = marked.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("sketch").alias("sketch"))
-        comp = _connect(members, texts, stage(sketches, "sketches"), similarity, rounds, bands * rows)
+        comp = _connect(members, texts, similarity)
     return _classes(marked, comp)
 
 
-def _connect(members: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float, rounds: int, components_: int) -> DataFrame | None:
+def _connect(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
     """Components (node, component) of the texts that share buckets and are similar."""
-    seen = links = comp = None
-    open_ = members
-    for k in range(rounds):
-        # the first round: all pairs of small buckets, the others' first members against the rest; then about
-        # 4 ** k representatives, or all members where a bucket has no more, against members in other components
-        at = open_.withColumn("c", F.col("t")) if comp is None else open_.join(comp.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
-        split = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        at = at.join(split, "key")
-        at = stage(at if k == 0 else at.join(sketches, "t"), "open")
-        if at.isEmpty():
-            break
-        if k == 0:
-            small = at.where(F.col("n") <= SMALL)
-            pairs = small.alias("p").join(small.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.t") < F.col("q.t"))).select(F.col("p.t").alias("a"), F.col("q.t").alias("b"))
-            large = at.where(F.col("n") > SMALL)
-            heads = large.groupBy("key").agg(F.min("t").alias("a"))
-            pairs = pairs.union(large.join(heads, "key").where("t <> a").select("a", F.col("t").alias("b")))
-        else:
-            lot = F.xxhash64("key", "t", F.lit(k))
-            bar = F.least(F.lit(1.0), F.lit(float(4**k)) / F.col("n"))
-            head = at.where((F.pmod(lot, F.lit(1 << 30)) / F.lit(float(1 << 30)) < bar) | (F.col("n") <= 4**k)).select("key", F.col("t").alias("h"), F.col("c").alias("hc"), F.col("sketch").alias("hs"))
-            near = disagreeing("sketch", "hs", components_) <= most_disagreeing(similarity, components_)
-            pairs = at.join(head, "key").where("c <> hc AND t <> h").where(near).select(F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b"))
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        good = stage(_verified(pairs, texts, similarity), "links")
-        links = good if links is None else links.union(good)
-        if not good.isEmpty():
+    small = members.where(F.col("n") <= SMALL).select("key", "t")
+    pairs = small.alias("p").join(small.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.t") < F.col("q.t"))).select(F.col("p.t").alias("a"), F.col("q.t").alias("b"))
+    pairs = pairs.union(members.where((F.col("n") > SMALL) & (F.col("t") != F.col("head"))).select(F.col("head").alias("a"), F.col("t").alias("b")))
+    links = stage(_verified(pairs.distinct(), texts, similarity), "links")
+    comp = None if links.isEmpty() else stage(components(links), "comp")
+
+    # texts of larger buckets that lie in several components
+    at = _placed(members.where(F.col("n") > SMALL).select("key", "t"), comp)
+    split = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rest = stage(at.join(split, "key", "left_semi").select("t").distinct(), "rest")
+    if rest.isEmpty():
+        return comp
+    prefixes = stage(_prefixes(texts.join(rest, "t", "left_semi"), similarity), "prefixes")
+    for whole in (False, True):  # first one text of each component for a window, then all
+        pairs = stage(_prefix_pairs(_placed(prefixes, comp), similarity, whole), "pairs")
+        more = stage(_verified(pairs, texts, similarity), "links")
+        if not more.isEmpty():
+            links = links.union(more)
             comp = stage(components(links), "comp")
-        open_ = at.where(F.col("n") > (SMALL if k == 0 else 4**k)).select("key", "t", "n")
     return comp
 
 
+def _placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Rows of texts t with their component c."""
+    if comp is None:
+        return rows.withColumn("c", F.col("t"))
+    return rows.join(comp.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
+
+
+def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """Of texts (t, text): their rarest windows e, each with its place in the order of rarity and the text's size.
+
+    The k-th copy of a window is an element of its own, so that overlaps of sets are overlaps of multisets.
+    Windows of one text alone come first and pair with nothing: only their number counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            g, owner = shingles(b.column("text"))
+            order = np.lexsort((g, owner))
+            g, owner = g[order], owner[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new)
+            copy = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+            e = np.where(copy > 0, mix(g ^ mix(copy.astype(np.uint64))), g)
+            size = np.bincount(owner, minlength=len(b))
+            cut = 200_000  # rows of a batch
+            for i in range(0, len(e), cut):
+                s = slice(i, i + cut)
+                yield pa.RecordBatch.from_pydict({"t": b.column("t").take(pa.array(owner[s])), "e": e[s].view(np.int64), "size": pa.array(size[owner[s]], pa.int32())})
+
+    each = stage(texts.select("t", "text").mapInArrow(run, "t binary, e long, size int"), "windows")
+    often = each.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    held = each.join(often, "e").groupBy("t", "size").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))  # a text's own windows
+    alone = F.col("size") - F.size("es")
+    reach = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1 - alone
+    held = held.where(reach > 0).select("t", "size", alone.alias("alone"), F.posexplode(F.slice("es", 1, F.greatest(reach, F.lit(1)))).alias("k", "x"))
+    return held.select("t", "size", F.col("x.e").alias("e"), (F.col("alone") + F.col("k") + 1).cast("int").alias("place"))
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """Pairs (a, b) of texts in different components that share a window early enough.
+
+    rows: t, c, e, place, size. Each pair of components has one that isn't the window's most frequent one, so
+    that only texts of those others look for partners. whole: all texts, else one of each component.
+    """
+    own = rows.groupBy("e", "c").agg(F.count("*").alias("n"), F.min(F.struct("place", "t", "size")).alias("one"))
+    most = own.groupBy("e").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("k")).where("k > 1").select("e", F.col("most.c").alias("most"))
+    if not whole:
+        rows = own.select("e", "c", "one.place", "one.t", "one.size")
+    rows = rows.join(most, "e")
+    x, y = rows.where("c <> most").alias("x"), rows.alias("y")
+    if not whole:
+        y = rows.where("c = most").alias("y")
+    need = F.ceil(similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    fits = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9) & (1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need)
+    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c")) & fits)
+    return pairs.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct()
+
+
 def _classes(marked: DataFrame, comp: DataFrame | None) -> DataFrame:
     rows = marked.select("doc_id", "t", F.col("bands").isNotNull().alias("has"))
     if comp is not None:

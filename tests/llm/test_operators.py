@@ -132,18 +132,23 @@ def test_signatures_estimate_the_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03
 
 
-def test_sketches_keep_what_is_similar(spark):
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    """A passage that all texts share, and one group with edits of every share: classes equal brute force."""
     rng = random.Random(6)
     words = [f"w{k}" for k in range(5000)]
-    base = rng.choices(words, k=400)
-    texts = [" ".join(base)] + [" ".join(rng.choice(words) if rng.random() < edits else w for w in base) for edits in (0.01, 0.02, 0.03, 0.05, 0.1, 0.3) for _ in range(20)]
-    _, _, sketch = neardup.signatures(pa.array(texts))
-    df = spark.createDataFrame([(i, sketch[0].tolist(), x.tolist()) for i, x in enumerate(sketch)], "i int, a array<long>, b array<long>")
-    got = {r.i: r.n for r in df.select("i", neardup.disagreeing("a", "b").alias("n")).collect()}
-    for i, t in enumerate(texts):
-        s = neardup.overlap(texts[0], t)
-        assert abs(got[i] / 150 - (1 - s) * 15 / 16) < 0.18
-        assert got[i] <= neardup.most_disagreeing(0.8) if s >= 0.8 else s > 0.4 or got[i] > neardup.most_disagreeing(0.8)
+    base, passage = rng.choices(words, k=120), rng.choices(words, k=40)
+    texts = [" ".join(base)] + [" ".join(rng.choice(words) if rng.random() < share else w for w in base) for share in (0.01, 0.02, 0.03, 0.05, 0.1, 0.3) for _ in range(20)]
+    texts += [" ".join(rng.choices(words, k=rng.randint(5, 60)) + passage + rng.choices(words, k=20)) for _ in range(60)]
+    texts += [" ".join(base[:k]) for k in range(60, 120, 3)]
+    bags = [Counter(neardup.shingles(pa.array([t]))[0].tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup._overlap(bags[i], bags[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    got = rows(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i: r.class_id for i, r in got.items()} == dict(enumerate(root))
 
 
 def test_near_duplicate_classes(docs):
