@@ -240,18 +240,34 @@ def test_html_of_deep_pages(spark):
     assert len(got) == len(cases) and all(r.text == f"story {r.page_id}\nmore" for r in got)
 
 
-def test_repeats_equal_brute_force(docs):
-    texts, n = [(t or "").encode() for t in corpus()], 40
+def covered(tokens, n, wanted):
+    """Which places the windows of n tokens with a wanted key cover."""
+    cover = bytearray(len(tokens))
+    for i in range(len(tokens) - n + 1):
+        if wanted(i):
+            cover[i : i + n] = b"\1" * n
+    return cover
+
+
+@pytest.mark.parametrize("n, m, seed", [(40, 7, None), (24, 3, 5)])
+def test_repeats_equal_brute_force(spark, docs, n, m, seed):
+    strings = corpus()
+    if seed:  # few letters, periods and partly changed copies: many segments of a name
+        rng = random.Random(seed)
+        base = ["".join(rng.choices("ab \né", (5, 5, 3, 1, 1), k=150)) for _ in range(4)] + ["ab " * 60]
+        strings = [b[rng.randrange(40) :][: rng.randint(1, 150)] + rng.choice("xyz") + rng.choice(base)[rng.randrange(100) :] for b in base for _ in range(9)]
+        docs = spark.createDataFrame(list(enumerate(strings)), "doc_id long, text string")
+    texts = [(t or "").encode() for t in strings]
+    spans = [[(x.start(), x.end()) for x in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in texts]
     count = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
-    got = rows(suffixes.remove_repeats(docs, n))
-    for k, b in enumerate(texts):
-        cover = bytearray(len(b))
-        for i in range(len(b) - n + 1):
-            if count[b[i : i + n]] > 1:
-                cover[i : i + n] = b"\1" * n
-        spans = sum(1 for i, c in enumerate(cover) if c and (not i or not cover[i - 1]))
+    passages = Counter(b[w[i][0] : w[i + m - 1][1]] for b, w in zip(texts, spans) for i in range(len(w) - m + 1))
+    got = rows(suffixes.remove_repeats(docs, n, m))
+    for k, (b, w) in enumerate(zip(texts, spans)):
+        cover = covered(b, n, lambda i: count[b[i : i + n]] > 1)
+        runs = sum(1 for i, c in enumerate(cover) if c and (not i or not cover[i - 1]))
         left = hashlib.sha256(bytes(x for x, c in zip(b, cover) if not c)).hexdigest()
-        assert tuple(got[k])[1:] == (len(b), sum(cover), spans, left)
+        words = sum(covered(w, m, lambda i: passages[b[w[i][0] : w[i + m - 1][1]]] > 1))
+        assert tuple(got[k])[1:] == (len(b), sum(cover), runs, left, words)
 
 
 def test_license_scan():
