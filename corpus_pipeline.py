@@ -24,12 +24,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
-#: A passage of over 50 words goes if it repeats, also one shorter than the bytes of op7_suffixes.
-PASSAGE_WORDS = 51
-
-
 def suffix_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs, words=PASSAGE_WORDS)
+    """A passage of over 50 words goes if it repeats, also one shorter than the bytes of op7_suffixes."""
+    return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
