@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+import hashlib
+import math
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +51,18 @@ def gram_hash(left: Column, right: Column) -> Column:
     return F.shiftleft(left, 1).bitwiseOR(F.shiftrightunsigned(left, 63)).bitwiseXOR(right)
 
 
-def shared_row(h: Column, constant: int, rows: Column) -> Column:
-    """A term's row among `rows` shared ones, as of unsigned hashes."""
-    x = h.bitwiseXOR(F.lit(constant))
-    return F.pmod(F.shiftrightunsigned(x, 1), rows).cast("long")
+def unsigned_mod(x: Column, n: Column) -> Column:
+    """x mod n with x as an unsigned 64-bit number, for n of at most 2 ** 31."""
+    high, low = F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))
+    return ((high % n) * (F.lit(1 << 32) % n) + low % n) % n
+
+
+def shared_row(h: Column, variant: int, rows: Column) -> Column:
+    """A term's row among `rows` shared ones: the unsigned hash, xor the variant's constant, modulo their number."""
+    if not 0 <= variant < 64:
+        raise ValueError("there are 64 variants")
+    constant = int.from_bytes(hashlib.md5(b"row variant %d" % variant).digest()[:8], "big", signed=True)
+    return unsigned_mod(h.bitwiseXOR(F.lit(constant)), rows).cast("long")
 
 
 def shard_of(postings: Column, minima: list[int]) -> Column:
@@ -92,3 +105,33 @@ def packed_extreme(a: Column, b: Column, largest: bool = True) -> Column:
 def apply_model(table: list[float], index: Column) -> Column:
     """A lookup table's value; null outside."""
     return F.get(F.array(*map(F.lit, table)), index.cast("int"))
+
+
+def arithmetic(formula: str) -> Column:
+    """A formula of + - * /, parentheses, numbers, e, pi and sqrt; operators of a level go from left to right.
+
+    Parsed here, so that nothing but arithmetic gets into the plan.
+    """
+    tree = ast.parse(formula.strip(), mode="eval").body
+    names = {"e": math.e, "pi": math.pi}
+    binary = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
+
+    def value(n: ast.expr) -> Column:
+        match n:
+            case ast.Constant(v) if isinstance(v, int | float) and not isinstance(v, bool):
+                return F.lit(float(v))
+            case ast.Name(name) if name in names:
+                return F.lit(names[name])
+            case ast.BinOp(left, op, right) if type(op) in binary:
+                return binary[type(op)](value(left), value(right))
+            case ast.UnaryOp(ast.USub(), x):
+                return -value(x)
+            case ast.UnaryOp(ast.UAdd(), x):
+                return value(x)
+            case ast.Call(ast.Name("sqrt"), [x], []):
+                return F.sqrt(value(x))
+            case ast.Name(name):
+                return F.col(f"`{name}`").cast("double")
+        raise ValueError(f"not arithmetic: {formula!r}")
+
+    return value(tree)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = r"[ \t\n\r\f]+"
+BLANKS = r"[ \t\n\x0B\r\f]+"
 MAX_GRAM = 7
 
 
@@ -55,9 +55,24 @@ def tokens_table(docs: DataFrame, stream_id: int = 0) -> DataFrame:
     return docs.select("doc_id", F.lit(stream_id).cast("short").alias("stream_id"), F.posexplode("toks").alias("pos", "term"))
 
 
-def postings(docs: DataFrame, gram_size: int = 1, *keep: str) -> DataFrame:
-    """Distinct (doc_id, gram, gram_size); grams never cross documents."""
+def grams_of(tokens: Column, size: int) -> Column:
+    """The grams of exactly `size` tokens, in order: neighbours are zipped, so that the work is one pass a size."""
+    if not 1 <= size <= MAX_GRAM:
+        raise ValueError(f"gram size must be 1 to {MAX_GRAM}")
+    out = tokens
+    for k in range(1, size):
+        n = F.greatest(F.size(tokens) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), n), F.slice(tokens, F.lit(k + 1), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
+
+
+def postings(docs: DataFrame, gram_size: int = 1, *keep: str, exact: bool = False) -> DataFrame:
+    """Distinct (doc_id, gram, gram_size); grams never cross documents. exact: of this size only, else up to it."""
     if gram_size == 1:
         return docs.select("doc_id", *keep, F.explode("terms").alias("gram"), F.lit(1).alias("gram_size"))
-    each = docs.select("doc_id", *keep, F.explode(F.array_distinct(F.transform(ngrams(F.col("toks"), gram_size), lambda g: F.struct(g["gram"].alias("gram"), g["gram_size"].alias("gram_size"))))).alias("g"))
-    return each.select("doc_id", *keep, "g.gram", "g.gram_size")
+    sizes = [gram_size] if exact else range(1, gram_size + 1)
+    def sized(k: int) -> Column:
+        return F.transform(F.array_distinct(grams_of(F.col("toks"), k)), lambda g: F.struct(g.alias("gram"), F.lit(k).alias("gram_size")))
+
+    each = [sized(k) for k in sizes]
+    return docs.select("doc_id", *keep, F.explode(F.concat(*each)).alias("g")).select("doc_id", *keep, "g.gram", "g.gram_size")

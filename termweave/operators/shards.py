@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import inf
 
 
@@ -15,23 +15,37 @@ def geometric(first: int = 32, factor: float = 2.0, limit: int = 16_385) -> list
     return out
 
 
-def optimal(histogram: Sequence[tuple[int, int]], most: int = 16, overhead: float = 1.0, least_capacity: int = 1, max_rank: int = 3) -> list[int]:
+Cost = Callable[[int, int], float]  # documents and largest posting count of a shard: its cost, infinite if it can't be
+
+
+def padded_cost(overhead: float = 1.0, least_capacity: int = 1, max_rank: int = 3) -> Cost:
+    """Documents, rounded up to whole rows, times the largest posting count, plus the overhead."""
+    unit = 64 << max_rank
+
+    def cost(documents: int, postings: int) -> float:
+        columns = -(-documents // unit) * unit
+        return columns * postings + overhead if columns >= least_capacity else inf
+
+    return cost
+
+
+def optimal(histogram: Sequence[tuple[int, int]], most: int = 16, cost_of: Cost | None = None) -> list[int]:
     """Minima of at most `most` shards with the least cost, for (posting count, documents) pairs.
 
-    A shard costs its documents, rounded up to whole rows, times its largest posting count, plus the overhead.
-    Shortest paths with a bounded number of steps over the sorted counts.
+    A shard costs what cost_of says, padded_cost() by default. Shortest paths with a bounded number of steps over
+    the sorted counts.
     """
+    cost_of = cost_of or padded_cost()
     bars = sorted((p, n) for p, n in histogram if n)
     if not bars:
         return [0]
-    unit, n = 64 << max_rank, len(bars)
+    n = len(bars)
     total = [0]
     for _, d in bars:
         total.append(total[-1] + d)
 
     def cost(i: int, j: int) -> float:
-        columns = -(-(total[j] - total[i]) // unit) * unit
-        return columns * bars[j - 1][0] + overhead if columns >= least_capacity else inf
+        return cost_of(total[j] - total[i], bars[j - 1][0])
 
     best = [[inf] * (n + 1) for _ in range(most + 1)]
     back = [[0] * (n + 1) for _ in range(most + 1)]

@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 
 def compare(expected: DataFrame, observed: DataFrame, on: tuple[str, ...] = ("query", "doc_id")) -> DataFrame:
-    """Each pair with its kind: true_positive, false_positive or false_negative."""
-    e, o = expected.select(*on).distinct().withColumn("e", F.lit(True)), observed.select(*on).distinct().withColumn("o", F.lit(True))
+    """Each pair with its kind: true_positive, false_positive or false_negative. Repeated pairs are one.
+
+    One aggregation over both sides, so that their rows are shuffled once.
+    """
+    both = expected.select(*on, F.lit(True).alias("e"), F.lit(False).alias("o")).unionByName(observed.select(*on, F.lit(False).alias("e"), F.lit(True).alias("o")))
+    met = both.groupBy(*on).agg(F.max("e").alias("e"), F.max("o").alias("o"))
     kind = F.when(F.col("e") & F.col("o"), "true_positive").when(F.col("o"), "false_positive").otherwise("false_negative")
-    return e.join(o, list(on), "full_outer").select(*on, kind.alias("kind"))
+    return met.select(*on, kind.alias("kind"))
+
+
+def unverified(observed: DataFrame, on: tuple[str, ...] = ("query", "doc_id")) -> DataFrame:
+    """Observed pairs of a run without ground truth."""
+    return observed.select(*on).distinct().withColumn("kind", F.lit("unchecked"))
 
 
 def summary(compared: DataFrame, by: str = "query") -> DataFrame:

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import scalar, text
 from termweave.operators import batch, filters, shards, signatures, statistics, verify
+from termweave.operators.ordering import numbered
 from termweave.plans.api import Engine
+from termweave.plans.index import Index, IndexedEngine
+from termweave.plans.parser import And, Fact, MatchAll, MatchNone, Not, Or, Term, parse
+from termweave.sources import chunks, delimited, synthetic
+from termweave.sources.workspace import new_folder, stage
+from termweave.streaming.ingest import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,8 +27,37 @@ _D = f"d AS (SELECT doc_id, lang, source, text, {_T} AS toks, list_distinct({_T}
 _P = "p AS (SELECT doc_id, lang, unnest(terms) AS gram FROM d)"
 
 
+_built: dict[tuple[str, str, str], Index] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], Index]) -> Index:
+    """An index that is built at its first use in an application, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        _built[key] = make(new_folder(spark, f"index-{name}"))
+    return _built[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of all documents."""
+
+    def make(folder: str) -> Index:
+        docs = text.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source", F.octet_length("text").cast("long").alias("source_bytes"))
+        return Index.build(numbered(docs, [], ["doc_id"], "doc_index"), folder, carried=("lang",))
+
+    return _once(spark, sf_dir, "documents", make)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source", F.octet_length("text").cast("long").alias("source_bytes"))
+    return index(spark, sf_dir).documents
+
+
+def _engine(spark: SparkSession, sf_dir: str, **options) -> IndexedEngine:
+    return IndexedEngine(index(spark, sf_dir), **options)
+
+
+def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).frequencies
 
 
 def _query(name: str, sql: str | None = None):
@@ -56,16 +92,25 @@ _MATCHES = {
     "match_phrase_not": ('"in the" -"of the"', f"{_phrase('in', 'the')} AND NOT {_phrase('of', 'the')}"),
 }
 for _name, (_text, _sql) in _MATCHES.items():
-    _query(_name, f"WITH {_D} SELECT doc_id FROM d WHERE {_sql}")(lambda spark, sf_dir, q=_text: Engine(_docs(spark, sf_dir)).query(q))
+    _query(_name, f"WITH {_D} SELECT doc_id FROM d WHERE {_sql}")(lambda spark, sf_dir, q=_text: _engine(spark, sf_dir).query(q))
 
 
 @_query("match_lang_fact", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('in')} AND lang = 'en'")
 def _(spark, sf_dir):
-    from termweave.plans.compiler import to_column
-    from termweave.plans.parser import And, Fact, Term
+    engine = _engine(spark, sf_dir)
+    engine.all = engine.all.withColumn("english", F.col("lang") == "en")
+    return engine.match(And((Term("in"), Fact("english"))))
+
+
+@_query("match_all_none", f"WITH {_D} SELECT doc_id FROM d WHERE NOT {_has('the')}")
+def _(spark, sf_dir):
+    return _engine(spark, sf_dir).match(Or((MatchNone(), And((MatchAll(), Not(Term("the")))))))
+
 
-    docs = _docs(spark, sf_dir).withColumn("english", F.col("lang") == "en")
-    return docs.where(to_column(And((Term("in"), Fact("english"))), {0: "terms"}, {0: "toks"})).select("doc_id")
+@_query("match_scan", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('the')} AND NOT {_has('that')}")
+def _(spark, sf_dir):
+    """The engine without an index, over texts as they come."""
+    return Engine.from_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).query("the -that")
 
 
 _PAGES = r"""pg AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, lower(regexp_extract(html, '<article>(.*)', 1, 's')) AS body FROM pages)"""
@@ -73,36 +118,40 @@ _PAGES = r"""pg AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</
 
 @_query("match_stream_pages", rf"WITH {_PAGES} SELECT page_id AS doc_id FROM pg WHERE list_contains(regexp_split_to_array(title, '[ \t\n\r\f]+'), 'the') AND NOT list_contains(regexp_split_to_array(body, '[ \t\n\r\f]+'), 'in')")
 def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    title, body = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "(?s)<article>(.*)", 1)
-    docs = pages.select(F.col("page_id").alias("doc_id"), text.tokenize(title).alias("title"), text.tokenize(body).alias("body"))
-    return Engine(docs, {"title": 1, "body": 2}, {0: ("body", "body"), 1: ("title", "title"), 2: ("body", "body")}).query("title:the -body:in")
+    def make(folder: str) -> Index:
+        title, body = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "(?s)<article>(.*)", 1)
+        pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+        return Index.build(pages.select(F.col("page_id").alias("doc_id"), text.tokenize(title).alias("title"), text.tokenize(body).alias("body")), folder, {1: "title", 2: "body"})
+
+    found = _once(spark, sf_dir, "pages", make)
+    return IndexedEngine(found, {"title": 1, "body": 2}, {0: 2}).query("title:the -body:in")
 
 
 @_query("match_conversation_role", r"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND list_contains(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), 'the')")
 def _(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    own = F.when(F.col("role") == "user", text.tokenize("text")).otherwise(F.array().cast("array<string>"))
-    docs = t.select("conv_id", "turn", own.alias("user"))
-    engine = Engine(docs, {"user": 1}, {0: ("user", "user"), 1: ("user", "user")})
-    return docs.where(engine.condition("user:the")).select("conv_id", "turn")
+    def make(folder: str) -> Index:
+        t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        own = F.when(F.col("role") == "user", text.tokenize("text")).otherwise(F.array().cast("array<string>"))
+        return Index.build(t.select(F.struct("conv_id", "turn").alias("doc_id"), own.alias("user")), folder, {1: "user"})
+
+    found = IndexedEngine(_once(spark, sf_dir, "conversations", make), {"user": 1}, {0: 1}).query("user:the")
+    return found.select("doc_id.conv_id", "doc_id.turn")
 
 
 @_query("show_term", f"WITH {_D} SELECT doc_id, {_has('that')} AS contains FROM d")
 def _(spark, sf_dir):
-    return Engine(_docs(spark, sf_dir)).contains("that")
+    return _engine(spark, sf_dir).contains("that")
 
 
 @_query("doc_freq", f"WITH {_D}, {_P} SELECT gram, count(*) AS df, round(count(*) / (SELECT count(*) FROM d), 9) AS frequency FROM p GROUP BY gram")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return statistics.document_frequency(text.postings(d), d).select("gram", "df", F.round("frequency", 9).alias("frequency"))
+    return _frequencies(spark, sf_dir).select("gram", "df", F.round("frequency", 9).alias("frequency"))
 
 
 @_query("doc_freq_by_lang", f"WITH {_D}, {_P} SELECT lang, gram, count(*) AS df, round(count(*) / any_value(n), 9) AS frequency FROM p JOIN (SELECT lang, count(*) AS n FROM d GROUP BY lang) s USING (lang) GROUP BY lang, gram HAVING count(*) / any_value(n) >= 0.01")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return statistics.document_frequency(text.postings(d, 1, "lang"), d, ["lang"], 0.01).select("lang", "gram", "df", F.round("frequency", 9).alias("frequency"))
+    found = index(spark, sf_dir)
+    return statistics.document_frequency(found.postings.select("lang", "gram", F.lit(1).alias("gram_size")), found.documents, ["lang"], 0.01).select("lang", "gram", "df", F.round("frequency", 9).alias("frequency"))
 
 
 @_query("doc_freq_bigram", f"WITH {_D}, b AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS gram FROM d) SELECT gram, count(*) AS df FROM b GROUP BY gram HAVING count(*) >= 3")
@@ -112,7 +161,7 @@ def _(spark, sf_dir):
 
 
 def _bigrams(d: DataFrame) -> DataFrame:
-    return statistics.document_frequency(text.postings(d, 2).where("gram_size = 2"), d)
+    return statistics.document_frequency(text.postings(d, 2, exact=True), d)
 
 
 @_query("doc_freq_bigram_all")
@@ -126,14 +175,12 @@ _F = "f AS (SELECT gram, count(*) AS df, (SELECT count(*) FROM d) AS n FROM p GR
 
 @_query("idf_x10", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(least(60, floor(10 * log10(n / df) + 0.5)) AS INTEGER) AS idf FROM f")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return statistics.document_frequency(text.postings(d), d).select("gram", scalar.idf_x10(F.col("df"), F.col("n")).alias("idf"))
+    return _frequencies(spark, sf_dir).select("gram", scalar.idf_x10(F.col("df"), F.col("n")).alias("idf"))
 
 
 @_query("freq_at_rank", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(r AS INTEGER) AS rank, round(CASE WHEN r = 0 THEN df / n ELSE 1 - pow(1 - df / n, pow(2, r)) END, 9) AS frequency FROM f, range(0, 7) t(r) WHERE df >= 20")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return _at_ranks(statistics.document_frequency(text.postings(d), d).where("df >= 20"))
+    return _at_ranks(_frequencies(spark, sf_dir).where("df >= 20"))
 
 
 def _at_ranks(f: DataFrame) -> DataFrame:
@@ -144,14 +191,12 @@ def _at_ranks(f: DataFrame) -> DataFrame:
 @_query("freq_at_rank_all")
 def _(spark, sf_dir):
     """Every gram, also those that freq_at_rank's SQL leaves out."""
-    d = _docs(spark, sf_dir)
-    return _at_ranks(statistics.document_frequency(text.postings(d), d))
+    return _at_ranks(_frequencies(spark, sf_dir))
 
 
 @_query("row_count_k", f"WITH {_D}, {_P}, {_F} SELECT gram, CAST(CASE WHEN df / n >= 0.1 THEN 1 ELSE greatest(1, ceil(ln(df / n / 10.0) / ln(0.1 - df / n))) END AS INTEGER) AS k FROM f")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return statistics.document_frequency(text.postings(d), d).select("gram", scalar.row_count(F.col("frequency"), 0.1, 10.0).alias("k"))
+    return _frequencies(spark, sf_dir).select("gram", scalar.row_count(F.col("frequency"), 0.1, 10.0).alias("k"))
 
 
 @_query("length_histogram", f"WITH {_D} SELECT len(terms) AS posting_count, count(*) AS documents FROM d GROUP BY 1")
@@ -172,8 +217,8 @@ def _(spark, sf_dir):
 
 @_query("cumulative_terms", f"WITH {_D}, {_P}, first AS (SELECT lang, gram, min(doc_id) AS doc_id FROM p GROUP BY lang, gram), new AS (SELECT lang, doc_id, count(*) AS n FROM first GROUP BY lang, doc_id) SELECT d.lang, d.doc_id, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS BIGINT) AS terms FROM d LEFT JOIN new USING (lang, doc_id)")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return statistics.cumulative_terms(text.postings(d, 1, "lang"), d, "lang")
+    found = index(spark, sf_dir)
+    return statistics.cumulative_terms(found.postings.select("lang", "gram", "doc_id"), found.documents, "lang")
 
 
 @_query("accumulator_by_lang", f"WITH {_D} SELECT lang, count(*) AS count, round(avg(len(terms)), 6) AS mean, min(len(terms)) AS min, max(len(terms)) AS max, round(CASE WHEN count(*) < 2 THEN 1.0 ELSE var_samp(len(terms)) END, 4) AS var FROM d GROUP BY lang")
@@ -213,7 +258,7 @@ def _(spark, sf_dir):
     return filters.first_documents(filters.by_posting_count(_docs(spark, sf_dir), 20, 1 << 30), 50).select("doc_id")
 
 
-@_query("filter_random")
+@_query("filter_random", f"SELECT doc_id FROM documents WHERE CAST('0x' || substr(md5('3/' || doc_id), 1, 8) AS BIGINT) < {1 << 31}")
 def _(spark, sf_dir):
     return filters.at_random(_docs(spark, sf_dir), 0.5, 3).select("doc_id")
 
@@ -235,17 +280,23 @@ _LOG_ROWS = " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM d WHERE {c}"
 
 @_query("query_log_batch", f"WITH {_D} {_LOG_ROWS}")
 def _(spark, sf_dir):
-    return batch.run_log(_docs(spark, sf_dir), LOG)
+    return _engine(spark, sf_dir).log(LOG)
 
 
 @_query("query_log_summary", f"WITH {_D}, m AS ({_LOG_ROWS}) SELECT q.query, count(m.doc_id) AS matches FROM (SELECT unnest({list(LOG)!r}) AS query) q LEFT JOIN m USING (query) GROUP BY q.query")
 def _(spark, sf_dir):
-    return batch.log_summary(batch.run_log(_docs(spark, sf_dir), LOG), LOG)
+    return batch.log_summary(_engine(spark, sf_dir).log(LOG), LOG)
+
+
+@_query("query_log_scan", f"WITH {_D} {_LOG_ROWS}")
+def _(spark, sf_dir):
+    """The log by one scan of the documents."""
+    return batch.run_log(_docs(spark, sf_dir), LOG)
 
 
 @_query("verify_confusion", f"WITH {_D}, e AS (SELECT doc_id FROM d WHERE {_has('the')} AND {_has('and')}), o AS (SELECT doc_id FROM d WHERE {_has('the')}) SELECT 'q2' AS query, count(e.doc_id + o.doc_id) AS true_positives, count(*) FILTER (e.doc_id IS NULL) AS false_positives, count(*) FILTER (o.doc_id IS NULL) AS false_negatives FROM e FULL JOIN o USING (doc_id)")
 def _(spark, sf_dir):
-    engine = Engine(_docs(spark, sf_dir))
+    engine = _engine(spark, sf_dir)
     loose = engine.query("the").select(F.lit("q2").alias("query"), "doc_id")
     return engine.verify({"q2": "the and"}, loose).select("query", "true_positives", "false_positives", "false_negatives")
 
@@ -256,9 +307,11 @@ def _dft(lang: str) -> str:
 
 @_query("dft_compare", f"WITH {_D}, {_P} SELECT gram, round(coalesce(a.frequency, 1e-8), 9) AS \"left\", round(coalesce(b.frequency, 1e-8), 9) AS \"right\" FROM {_dft('en')} a FULL JOIN {_dft('de')} b USING (gram)")
 def _(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    en, de = (statistics.document_frequency(text.postings(x), x) for x in (d.where("lang = 'en'"), d.where("lang = 'de'")))
-    return statistics.compare_frequencies(en, de).select("gram", F.round("left", 9).alias("left"), F.round("right", 9).alias("right"))
+    found = index(spark, sf_dir)  # one pass over the postings for both
+    n = found.documents.groupBy("lang").agg(F.count("*").alias("n"))
+    f = found.postings.where(F.col("lang").isin("en", "de")).groupBy("lang", "gram").agg(F.count("*").alias("df")).join(F.broadcast(n), "lang")  # four languages
+    own = lambda x: F.coalesce(F.max(F.when(F.col("lang") == x, F.col("df") / F.col("n"))), F.lit(1e-8))
+    return f.groupBy("gram").agg(F.round(own("en"), 9).alias("left"), F.round(own("de"), 9).alias("right"))
 
 
 _LISTED = ["the", "and", "to", "that", "in", "is", "on", "der", "die", "les"]
@@ -266,34 +319,144 @@ _LISTED = ["the", "and", "to", "that", "in", "is", "on", "der", "die", "les"]
 
 @_query("term_cooccurrence", f"WITH {_D}, {_P}, l AS (SELECT * FROM p WHERE gram IN {tuple(_LISTED)!r}) SELECT a.gram AS \"left\", b.gram AS \"right\", count(*) AS shared FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(spark, sf_dir):
-    return statistics.cooccurrence(text.postings(_docs(spark, sf_dir)), spark.createDataFrame([(x,) for x in _LISTED], "gram string"))
+    return statistics.cooccurrence(index(spark, sf_dir).of((0, g) for g in _LISTED), spark.createDataFrame([(x,) for x in _LISTED], "gram string"))
+
+
+#: The rows of all grams by the treatment private_shared_rank0_and_3 at density 0.1 and a signal to noise ratio of 10.
+_SIG = f"""WITH {_D}, {_P}, ix AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM d),
+f AS (SELECT gram, count(*) AS df, count(*) / (SELECT count(*) FROM d) AS frequency, CAST(least(60, floor(10 * log10((SELECT count(*) FROM d) / count(*)) + 0.5)) AS INTEGER) AS idf_x10 FROM p GROUP BY gram),
+k AS (SELECT CAST(i AS INTEGER) AS idf_x10, CASE WHEN pow(10, -i / 10) >= 0.1 THEN 1 ELSE greatest(1, ceil(ln(pow(10, -i / 10) / 10) / ln(0.1 - pow(10, -i / 10)))) END AS k FROM range(0, 61) t(i)),
+plan AS (SELECT idf_x10, 0 AS rank, least(k, 2) AS rows FROM k UNION ALL SELECT idf_x10, 3, k - 2 FROM k WHERE k > 2),
+each AS (SELECT gram, idf_x10, rank, rows, CASE WHEN rank = 0 THEN frequency ELSE 1 - pow(1 - frequency, pow(2, rank)) END AS fr FROM f JOIN plan USING (idf_x10)),
+total AS (SELECT rank, greatest(10, ceil(round(sum(fr * rows) / 0.1, 6))) AS total FROM each WHERE fr < 0.1 GROUP BY rank),
+each_v AS (SELECT *, unnest(range(0, CAST(rows AS BIGINT))) AS v FROM each LEFT JOIN total USING (rank)),
+r AS (SELECT gram, idf_x10, rank, CASE WHEN fr >= 0.1 THEN 'p' || substr(md5(gram || '/' || rank || '/' || v), 1, 16) ELSE 's' || (CAST('0x' || substr(md5(gram || '/' || rank || '/' || v), 1, 8) AS BIGINT) % CAST(total AS BIGINT)) END AS "row" FROM each_v),
+bits AS (SELECT DISTINCT rank, "row", doc_index >> rank AS run FROM p JOIN ix USING (doc_id) JOIN r USING (gram)),
+dens AS (SELECT rank, "row", count(*) AS ones, count(*) / ceil((SELECT count(*) FROM d) / pow(2, rank)) AS density FROM bits GROUP BY 1, 2),
+report AS (SELECT gram, frequency, f.idf_x10, rank, "row", density FROM r JOIN dens USING (rank, "row") JOIN f USING (gram)),
+n_rows AS (SELECT rank, count(DISTINCT "row") AS rows FROM r GROUP BY rank),
+cols AS (SELECT doc_id, n_rows.rank, coalesce(ones, 0) / rows AS density FROM ix CROSS JOIN n_rows LEFT JOIN (SELECT rank, run, count(*) AS ones FROM bits GROUP BY 1, 2) b ON b.rank = n_rows.rank AND b.run = doc_index >> n_rows.rank)"""
+_ACC = "count(density) AS count, round(avg(density), 6) AS mean, round(min(density), 6) AS min, round(max(density), 6) AS max, round(CASE WHEN count(density) < 2 THEN 1.0 ELSE var_samp(density) END, 6) AS var"
+
 
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
-@_query("signature_density", f"WITH {_D}, {_P} SELECT gram AS row, count(*) AS ones FROM p WHERE gram IN {tuple(_LISTED)!r} GROUP BY gram")
+
+_signed: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _signature(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and bits of all grams, written at their first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _signed:
+        found = index(spark, sf_dir)
+        f = found.frequencies.withColumn("idf_x10", scalar.idf_x10(F.col("df"), F.col("n")))
+        rows = stage(signatures.term_rows(f, signatures.private_shared_rank0_and_3(0.1, 10.0), 0.1), "term-rows")
+        p = found.postings.select("doc_id", "gram").join(found.documents.select("doc_id", "doc_index"), "doc_id").select("doc_index", "gram")
+        _signed[key] = rows, stage(signatures.signature(p, rows), "bits")
+    return _signed[key]
+
+
+@_query("term_rows", f"{_SIG} SELECT gram, idf_x10, CAST(rank AS INTEGER) AS rank, \"row\" FROM r")
 def _(spark, sf_dir):
-    d = signatures.number_documents(_docs(spark, sf_dir))
-    p = d.select("doc_index", F.explode("terms").alias("gram"))
-    rows = spark.createDataFrame([(x, 0, x) for x in _LISTED], "gram string, rank int, row string")
-    return signatures.row_density(signatures.signature(p, rows), 1).select("row", "ones")
+    return _signature(spark, sf_dir)[0].select("gram", "idf_x10", "rank", "row")
 
 
-@_query("signature_match", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('the')} AND {_has('with')} AND NOT {_has('that')}")
+@_query("show_term_rows", f"{_SIG} SELECT CAST(rank AS INTEGER) AS rank, \"row\" FROM r WHERE gram = 'that'")
+def _(spark, sf_dir):
+    return _signature(spark, sf_dir)[0].where("gram = 'that'").select("rank", "row")
+
+
+@_query("show_rows", f"{_SIG} SELECT CAST(rank AS INTEGER) AS rank, \"row\", CAST(i AS INTEGER) AS doc_index, CAST(EXISTS (FROM bits b WHERE b.rank = g.rank AND b.\"row\" = g.\"row\" AND b.run = i >> g.rank) AS INTEGER) AS bit FROM (SELECT DISTINCT rank, \"row\" FROM r WHERE gram = 'that') g, range(0, 64) t(i)")
+def _(spark, sf_dir):
+    rows, bits = _signature(spark, sf_dir)
+    return signatures.show_rows(bits, rows, "that")
+
+
+@_query("signature_density", f"{_SIG} SELECT CAST(rank AS INTEGER) AS rank, \"row\", ones, round(density, 9) AS density FROM dens")
+def _(spark, sf_dir):
+    _, bits = _signature(spark, sf_dir)
+    return _rounded(signatures.row_density(bits, _docs(spark, sf_dir)), 9)
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, bits = _signature(spark, sf_dir)
+    return signatures.row_density_report(_frequencies(spark, sf_dir), rows, signatures.row_density(bits, _docs(spark, sf_dir)))
+
+
+@_query("row_density_report", f"{_SIG} SELECT gram, round(frequency, 9) AS frequency, idf_x10, CAST(rank AS INTEGER) AS rank, \"row\", round(density, 9) AS density FROM report")
 def _(spark, sf_dir):
-    from termweave.plans.parser import parse
+    return _rounded(_report(spark, sf_dir), 9)
+
+
+@_query("row_density_summary", f"{_SIG} SELECT idf_x10, CAST(rank AS INTEGER) AS rank, {_ACC} FROM report GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return _rounded(signatures.row_density_summary(_report(spark, sf_dir)))
+
 
-    engine = Engine(signatures.number_documents(_docs(spark, sf_dir)))
-    f = statistics.document_frequency(engine.docs.select("doc_id", F.explode("terms").alias("gram"), F.lit(1).alias("gram_size")), engine.docs)
-    f = f.where(F.col("gram").isin("the", "with", "that")).withColumn("idf_x10", scalar.idf_x10(F.col("df"), F.col("n")))
-    rows = signatures.term_rows(f, signatures.private_shared_rank0_and_3(0.1, 10.0), 0.1)
-    bits = signatures.signature(engine.docs.select("doc_index", F.explode("terms").alias("gram")), rows)
-    query = "the with -that"
-    return signatures.candidates(engine.docs, bits, rows, parse(query), ["the", "with", "that"]).where(engine.condition(query)).select("doc_id")
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, bits = _signature(spark, sf_dir)
+    return signatures.column_density(_docs(spark, sf_dir), bits, rows)
+
+
+@_query("column_density", f"{_SIG} SELECT doc_id, CAST(rank AS INTEGER) AS rank, round(density, 9) AS density FROM cols")
+def _(spark, sf_dir):
+    return _rounded(_columns(spark, sf_dir), 9)
+
+
+@_query("column_density_summary", f"{_SIG} SELECT CAST(rank AS INTEGER) AS rank, {_ACC} FROM cols GROUP BY 1")
+def _(spark, sf_dir):
+    return _rounded(signatures.column_density_summary(_columns(spark, sf_dir)))
+
+
+_CORRELATED = f"c AS (SELECT a.gram AS \"left\", b.gram AS \"right\", count(DISTINCT a.rank || '/' || a.\"row\") AS shared FROM r a JOIN r b USING (rank, \"row\") WHERE a.gram < b.gram AND a.gram IN (SELECT gram FROM f WHERE df >= 25) AND b.gram IN (SELECT gram FROM f WHERE df >= 25) GROUP BY 1, 2)"
+
+
+def _correlated(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    listed = _frequencies(spark, sf_dir).where("df >= 25").select("gram")
+    return signatures.correlation(_signature(spark, sf_dir)[0], listed, least)
+
+
+@_query("row_correlation", f"{_SIG}, {_CORRELATED} FROM c WHERE shared >= 1")
+def _(spark, sf_dir):
+    return _correlated(spark, sf_dir, 1)
+
+
+@_query("correlation_histogram", f"{_SIG}, {_CORRELATED} SELECT shared, count(*) AS pairs FROM c GROUP BY 1")
+def _(spark, sf_dir):
+    return signatures.correlation_histogram(_correlated(spark, sf_dir, 1))
+
+
+@_query("index_size", f"{_SIG} SELECT CAST(rank AS INTEGER) AS rank, rows, round(rows / (8 * pow(2, rank)), 9) AS bytes_per_document FROM n_rows")
+def _(spark, sf_dir):
+    got = signatures.index_size(_signature(spark, sf_dir)[0], 0)
+    return _rounded(got.select("rank", "rows", "bytes_per_document"), 9)
+
+
+_K = "CASE WHEN pow(10, -i / 10) >= 0.1 THEN 1 ELSE greatest(1, ceil(ln(pow(10, -i / 10) / 10) / ln(0.1 - pow(10, -i / 10)))) END"
+
+
+@_query("treatment_rows", f"WITH k AS (SELECT CAST(i AS INTEGER) AS idf_x10, CAST({_K} AS INTEGER) AS k FROM range(0, 61) t(i)) SELECT 'private_rank0' AS treatment, idf_x10, 0 AS rank, 1 AS rows FROM k UNION ALL SELECT 'private_shared_rank0', idf_x10, 0, k FROM k UNION ALL SELECT 'private_shared_rank0_and_3', idf_x10, 0, least(k, 2) FROM k UNION ALL SELECT 'private_shared_rank0_and_3', idf_x10, 3, k - 2 FROM k WHERE k > 2 UNION ALL SELECT 'classic_bitsliced', k.idf_x10, 0, c.k FROM k, k c WHERE c.idf_x10 = 40")
+def _(spark, sf_dir):
+    names = ("private_rank0", "private_shared_rank0", "private_shared_rank0_and_3", "classic_bitsliced")
+    each = [signatures.treatment_table(spark, signatures.TREATMENTS[n](0.1, 10.0)).select(F.lit(n).alias("treatment"), "*") for n in names]
+    return reduce(DataFrame.unionByName, each)
+
+
+@_query("signature_match", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('the')} AND {_has('with')} AND NOT {_has('that')}")
+def _(spark, sf_dir):
+    """Candidates by the rows of all grams, each checked against the postings."""
+    rows, bits = _signature(spark, sf_dir)
+    engine, query = _engine(spark, sf_dir), "the with -that"
+    may = signatures.candidates(_docs(spark, sf_dir).select("doc_id", "doc_index"), bits, rows, parse(query), ["the", "with", "that"])
+    return engine.query(query).join(may.select("doc_id"), "doc_id", "left_semi")
 
 
 @_query("delete_then_query", f"WITH {_D} SELECT doc_id FROM d WHERE {_has('the')} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def _(spark, sf_dir):
     gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0")
-    return Engine(_docs(spark, sf_dir), deleted=gone).query("the")
+    return _engine(spark, sf_dir, deleted=gone).query("the")
 
 
 @_query("escape_terms", r"""SELECT item_id, regexp_replace(text, '([ \t\f\v&|\\()":-])', '\\\1', 'g') AS escaped FROM benchmark""")
@@ -303,9 +466,9 @@ def _(spark, sf_dir):
 
 @_query("csv_extract", "SELECT p_name, p_partkey FROM part")
 def _(spark, sf_dir):
-    from termweave.sources.delimited import extract_columns
-
-    return extract_columns(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_name", "p_partkey"])
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    delimited.write_csv(part, folder := new_folder(spark, "csv"))
+    return delimited.extract_columns(delimited.read_csv(spark, folder, part.schema), ["p_name", "p_partkey"])
 
 
 @_query("column_total", "SELECT sum(p_size) AS total FROM part")
@@ -315,6 +478,283 @@ def _(spark, sf_dir):
 
 @_query("prime_corpus", "SELECT i AS doc_id FROM range(4096) t(i) WHERE i > 0 AND i % 6 = 0 AND i % 5 <> 0")
 def _(spark, sf_dir):
-    from termweave.sources.synthetic import prime_factors
+    return Engine(synthetic.prime_factors(spark, 4096)).query("2 3 -5")
+
+
+@_query("growing_corpus", "SELECT i AS doc_id FROM range(1, 193) t(i) WHERE i > 5 AND i <= 50")
+def _(spark, sf_dir):
+    return Engine(synthetic.growing(spark, 192)).query("5 -50")
+
+
+@_query("counting_corpus", "SELECT i AS doc_id FROM range(1, 193) t(i) WHERE i >= 30 AND i < 100")
+def _(spark, sf_dir):
+    return Engine.from_texts(synthetic.counting(spark)).query("thirty -hundred")
+
+
+@_query("built_in_corpus", "SELECT unnest([1, 3]) AS doc_id")
+def _(spark, sf_dir):
+    return Engine.from_texts(synthetic.sentences(spark)).query('"on the roof"').select(F.col("doc_id").cast("int").alias("doc_id"))
+
+
+# ---- orders, dictionaries and logs over the whole index ---------------------------------------------
+
+
+@_query("dft_order", f"WITH {_D}, {_P}, {_F} SELECT row_number() OVER (ORDER BY df DESC, gram) - 1 AS place, gram, df FROM f")
+def _(spark, sf_dir):
+    return statistics.by_frequency(_frequencies(spark, sf_dir)).select("place", "gram", "df")
+
+
+@_query("dft_breaks", f"WITH {_D}, {_P} SELECT count(DISTINCT gram) AS grams, 0 AS breaks FROM p")
+def _(spark, sf_dir):
+    ordered = stage(statistics.by_frequency(_frequencies(spark, sf_dir)), "ordered")
+    breaks = statistics.frequency_breaks(ordered).agg(F.count("*").cast("int").alias("breaks"))
+    return ordered.agg(F.count("*").alias("grams")).crossJoin(F.broadcast(breaks))
+
+
+@_query("df_shape", f"WITH {_D}, {_P}, {_F} SELECT df, count(*) AS grams, CAST(sum(df) AS BIGINT) AS postings FROM f GROUP BY df")
+def _(spark, sf_dir):
+    return statistics.documents_by_idf(_frequencies(spark, sf_dir))
+
+
+@_query("term_dictionary", f"WITH {_D}, {_P} SELECT DISTINCT gram, gram AS text FROM p")
+def _(spark, sf_dir):
+    grams = _frequencies(spark, sf_dir).select("gram")
+    return statistics.hash_to_text(grams.withColumn("hash", F.xxhash64("gram")), statistics.term_dictionary(grams)).select("gram", "text")
+
+
+@_query("adhoc_terms", f"WITH {_D}, {_P}, {_F} SELECT gram FROM f WHERE df / n < 0.01")
+def _(spark, sf_dir):
+    """Terms below the cut-off of the treatment `optimal`, which get no row of their own."""
+    return _frequencies(spark, sf_dir).where(F.col("frequency") < signatures.adhoc_cut("optimal", 0.1)).select("gram")
 
-    return Engine(prime_factors(spark, 4096)).query("2 3 -5")
+
+@_query("log_terms", f"WITH {_D}, {_P}, {_F}, l AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(trim(p_name), '\\s+')) AS gram FROM part) SELECT l.gram, count(*) AS queries, coalesce(any_value(df), 0) AS df FROM l LEFT JOIN f USING (gram) GROUP BY l.gram")
+def _(spark, sf_dir):
+    return statistics.log_against_frequencies(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("query")), _frequencies(spark, sf_dir))
+
+
+@_query("phrase_log", "WITH s AS (SELECT p_name AS query FROM part WHERE len(regexp_split_to_array(trim(p_name), '\\s+')) > 1) FROM s UNION ALL SELECT '\"' || query || '\"' FROM s")
+def _(spark, sf_dir):
+    return synthetic.phrase_log(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("query")))
+
+
+_TIMINGS = "t AS (SELECT event_type = 'click' OR value > 5 AS succeeded, user_id AS matches, value / 1000 AS plan_s, value / 300 AS match_s, CASE WHEN user_id % 3 = 0 THEN '\"a b\"' ELSE 'a b' END AS query FROM events WHERE value IS NOT NULL)"
+
+
+def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL")
+    query = F.when(F.col("user_id") % 3 == 0, '"a b"').otherwise("a b")
+    return e.select(((F.col("event_type") == "click") | (F.col("value") > 5)).alias("succeeded"), F.col("user_id").alias("matches"), (F.col("value") / 1000).alias("plan_s"), (F.col("value") / 300).alias("match_s"), query.alias("query"))
+
+
+@_query("timing_summary", f"WITH {_TIMINGS} SELECT count(*) AS queries, CAST(sum(matches) AS BIGINT) AS matches, round(count(*) / sum(plan_s + match_s), 6) AS queries_per_s, round(sum(matches) / sum(plan_s + match_s), 6) AS matches_per_s, round(sum(matches) / count(*), 6) AS matches_per_query, round(avg(plan_s + match_s), 6) AS mean_latency, round(sum(plan_s) / sum(plan_s + match_s), 6) AS planning_share FROM t WHERE succeeded")
+def _(spark, sf_dir):
+    return _rounded(batch.timing_summary(_timings(spark, sf_dir)))
+
+
+@_query("phrase_against_plain", f"WITH {_TIMINGS} SELECT round(sum(plan_s + match_s) FILTER (query LIKE '\"%'), 6) AS phrase_s, count(*) FILTER (query LIKE '\"%') AS phrase_queries, round(sum(plan_s + match_s) FILTER (query NOT LIKE '\"%'), 6) AS plain_s, count(*) FILTER (query NOT LIKE '\"%') AS plain_queries FROM t WHERE succeeded")
+def _(spark, sf_dir):
+    return _rounded(batch.phrase_against_plain(_timings(spark, sf_dir)))
+
+
+@_query("timed_log", f"WITH {_D} SELECT query, succeeded, matches FROM (SELECT 'the and' AS query, true AS succeeded, count(*) FILTER ({_has('the')} AND {_has('and')}) AS matches FROM d UNION ALL SELECT 'the (', false, NULL)")
+def _(spark, sf_dir):
+    return _engine(spark, sf_dir).timed(["the and", "the ("]).select("query", "succeeded", "matches")
+
+
+@_query("contains_ids", "SELECT DISTINCT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def _(spark, sf_dir):
+    return _engine(spark, sf_dir).handle(spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id")
+
+
+@_query("shard_range", f"WITH {_D} SELECT doc_id, CAST({_CASE} AS INTEGER) AS shard_id FROM d WHERE {_CASE} BETWEEN 1 AND 3")
+def _(spark, sf_dir):
+    return filters.shard_range(_docs(spark, sf_dir), _MINIMA, 1, 3).select("doc_id", "shard_id")
+
+
+@_query("filter_composite", f"WITH {_D} SELECT doc_id FROM d WHERE len(terms) > 30 AND lang = 'en' AND {_has('the')}")
+def _(spark, sf_dir):
+    docs = filters.unchanged(_docs(spark, sf_dir))
+    return filters.composite(docs, F.col("posting_count") > 30, F.col("lang") == "en", F.array_contains("terms", "the")).select("doc_id")
+
+
+_VERIFY = f"e AS (SELECT doc_id FROM d WHERE {_has('the')} AND {_has('and')}), o AS (SELECT doc_id FROM d WHERE {_has('the')})"
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir)
+    return verify.compare(engine.log({"q2": "the and"}), engine.query("the").select(F.lit("q2").alias("query"), "doc_id"))
+
+
+@_query("verify_pairs", f"WITH {_D}, {_VERIFY} SELECT 'q2' AS query, doc_id, CASE WHEN e.doc_id IS NULL THEN 'false_positive' WHEN o.doc_id IS NULL THEN 'false_negative' ELSE 'true_positive' END AS kind FROM e FULL JOIN o USING (doc_id)")
+def _(spark, sf_dir):
+    return _verified(spark, sf_dir)
+
+
+@_query("verify_rates", f"WITH {_D}, {_VERIFY}, c AS (SELECT count(e.doc_id) AS tp, count(*) FILTER (e.doc_id IS NULL) AS fp FROM e FULL JOIN o USING (doc_id)) SELECT 'q2' AS query, round(fp / (fp + tp), 6) AS false_rate, round(tp / fp, 6) AS signal_to_noise FROM c")
+def _(spark, sf_dir):
+    return _rounded(verify.summary(_verified(spark, sf_dir)).select("query", "false_rate", "signal_to_noise"))
+
+
+@_query("verify_unchecked", f"WITH {_D} SELECT 'q' AS query, doc_id, 'unchecked' AS kind FROM d WHERE {_has('with')}")
+def _(spark, sf_dir):
+    return verify.unverified(_engine(spark, sf_dir).query("with").select(F.lit("q").alias("query"), "doc_id"))
+
+
+# ---- files ------------------------------------------------------------------------------------------
+
+
+@_query("tsv_round_trip", "SELECT p_partkey, p_name, p_brand FROM part")
+def _(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    delimited.write_csv(part, folder := new_folder(spark, "tsv"), sep="\t")
+    return delimited.read_tsv(spark, folder, part.schema)
+
+
+@_query("csv_fields", "SELECT p_name, p_partkey, p_retailprice FROM part")
+def _(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice", "p_name")
+    delimited.write_fields_csv(part, folder := new_folder(spark, "fields"), ("a comment",))
+    return delimited.read_fields_csv(spark, folder, part.select("p_name", "p_partkey", "p_retailprice").schema)
+
+
+@_query("csv_hex_default", "SELECT p_partkey, coalesce(nullif(p_size % 5, 0), 99) AS p_rest FROM part")
+def _(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select(F.lower(F.hex("p_partkey")).alias("p_partkey"), F.nullif((F.col("p_size") % 5).cast("int"), F.lit(0)).alias("p_rest"))
+    delimited.write_csv(rows, folder := new_folder(spark, "hex"))
+    return delimited.read_csv(spark, folder, part.select("p_partkey", F.col("p_size").cast("int").alias("p_rest")).schema, {"p_rest": 99}, ("p_partkey",))
+
+
+@_query("column_file", "SELECT p_name FROM part")
+def _(spark, sf_dir):
+    delimited.write_column(spark.read.parquet(f"{sf_dir}/part.parquet"), folder := new_folder(spark, "column"), "p_name")
+    return delimited.read_column(spark, folder, "p_name")
+
+
+@_query("lines", "SELECT trim(p_name) AS line FROM part")
+def _(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("  "), "p_name", F.lit("\t")).alias("value")).write.text(folder := new_folder(spark, "lines"))
+    return delimited.read_lines(spark, folder)
+
+
+@_query("statistics_file", f"WITH {_D} SELECT len(terms) AS posting_count, count(*) AS documents FROM d GROUP BY 1")
+def _(spark, sf_dir):
+    folder = new_folder(spark, "statistics")
+    delimited.save_statistics(statistics.length_histogram(_docs(spark, sf_dir)), folder, "DocumentHistogram")
+    return delimited.load_statistics(spark, folder, "DocumentHistogram")
+
+
+@_query("chunk_round_trip", f"WITH {_D} SELECT doc_id, len(toks) AS tokens, len(terms) AS terms FROM d WHERE len(toks) > 0")
+def _(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.array(F.struct(F.lit(0).cast("short").alias("stream_id"), F.col("toks").alias("terms"))).alias("streams"))
+    chunks.write_chunks(d, folder := new_folder(spark, "chunks"))
+    t = chunks.chunk_tokens(chunks.read_chunk_folder(spark, folder))
+    return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("term").alias("terms"))
+
+
+@_query("saved_slice", f"WITH {_D}, {_P} SELECT (SELECT count(*) FROM d) AS documents, count(*) AS postings, count(DISTINCT gram) AS grams FROM p")
+def _(spark, sf_dir):
+    """The stored index, opened anew from its folder."""
+    held = Index(spark, index(spark, sf_dir).folder)
+    sizes = [held.documents.agg(F.count("*").alias("documents")), held.postings.agg(F.count("*").alias("postings")), held.frequencies.agg(F.count("*").alias("grams"))]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), sizes)  # a row each
+
+
+@_query("memory_usage", "SELECT 40.5 AS bytes_per_document")
+def _(spark, sf_dir):
+    lines = ["rank 0: 32.5 bytes/document", "rank 3: 8 bytes/document", "total of 3 shards"]
+    return statistics.bytes_used(spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+@_query("density_table", "SELECT density, round(b * 1000 / 1e6, 6) AS mb, round(q / 1000, 6) AS kqps, round(q / (b * 1000 / 1e6), 6) AS dq FROM (SELECT p_size / 100 AS density, p_retailprice AS b, p_partkey AS q FROM part)")
+def _(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") / 100).alias("density"), F.col("p_retailprice").alias("bytes_per_document"), F.col("p_partkey").alias("queries_per_s"))
+    t = statistics.density_table(part, 1000)
+    return t.select("density", *[F.round(c, 6).alias(c) for c in ("mb", "kqps", "dq")])
+
+
+# ---- the store --------------------------------------------------------------------------------------
+
+
+@_query("store_lifecycle", f"WITH {_D}, bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) SELECT doc_id, len(terms) AS posting_count, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS flagged FROM d WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
+def _(spark, sf_dir):
+    """Documents are added, some deleted, a fact is set for some and cleared for others; then the store is compacted."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    store = Store(spark, new_folder(spark, "store"))
+    store.add(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 1)
+    store.delete(labels.where("quality = 0"), 2)
+    store.set_fact(labels, "flagged", True, 3)
+    store.set_fact(labels.where("toxic = 0"), "flagged", False, 4)
+    small = store.compact(new_folder(spark, "compacted"))
+    facts = small.facts().where("fact = 'flagged'").select("doc_id", "value")
+    return small.active().join(facts, "doc_id", "left").select("doc_id", "posting_count", F.coalesce("value", F.lit(False)).alias("flagged"))
+
+
+@_query("store_contains", "SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AS held FROM labels")
+def _(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    store = Store(spark, new_folder(spark, "store"))
+    store.add(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 1)
+    store.delete(labels.where("quality = 0"), 2)
+    return store.contains(labels)
+
+
+@_query("stream_ingest", f"WITH {_D} SELECT doc_id, len(terms) AS posting_count FROM d")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    store = Store(spark, new_folder(spark, "store"))
+    store.follow(stream, new_folder(spark, "stream-state")).awaitTermination()
+    return store.active().select("doc_id", "posting_count")
+
+
+# ---- scalar functions -------------------------------------------------------------------------------
+
+_PART_F = "f AS (SELECT p_partkey, p_size, p_size / 100 AS f FROM part)"
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", (F.col("p_size") / 100).alias("f"))
+
+
+@_query("max_rank", f"WITH {_PART_F} SELECT p_partkey, CAST(CASE WHEN f <= 0 OR f >= 0.4 THEN 0 ELSE ceil(log2(ln(0.6) / ln(1 - f)) - 1e-12) END AS INTEGER) AS rank FROM f")
+def _(spark, sf_dir):
+    return _part(spark, sf_dir).select("p_partkey", scalar.max_rank(F.col("f"), 0.4).alias("rank"))
+
+
+@_query("idf_inverse", f"WITH {_PART_F} SELECT p_partkey, round(pow(10, -p_size / 10), 12) AS frequency, CAST(floor(1000000 / pow(10, p_size % 7)) AS BIGINT) AS df FROM f")
+def _(spark, sf_dir):
+    return _part(spark, sf_dir).select("p_partkey", F.round(scalar.idf_to_frequency(F.col("p_size")), 12).alias("frequency"), scalar.document_frequency(F.lit(1000000), F.col("p_size") % 7).alias("df"))
+
+
+@_query("rounding", f"WITH {_PART_F} SELECT p_partkey, CAST(ceil(p_partkey / 48) * 48 AS BIGINT) AS up, CAST(CASE WHEN p_partkey <= 1 THEN 1 ELSE pow(2, ceil(log2(p_partkey))) END AS BIGINT) AS power, CAST(ceil(p_partkey / 4096) * 4096 AS BIGINT) AS documents, CAST(ceil(p_partkey / 4096) * 4096 / 64 AS BIGINT) AS bytes FROM f")
+def _(spark, sf_dir):
+    n = F.col("p_partkey")
+    return _part(spark, sf_dir).select("p_partkey", scalar.round_up(n, 48).alias("up"), scalar.round_up_power_of_two(n).alias("power"), scalar.documents_in_row(n).alias("documents"), scalar.bytes_in_row(n, 3).alias("bytes"))
+
+
+_VARIANT = "c AS (SELECT CAST(('0x' || substr(md5('row variant 5'), 1, 16))::UBIGINT AS HUGEINT) AS c)"
+
+
+@_query("gram_and_row_hash", f"WITH {_PART_F}, {_VARIANT}, h AS (SELECT p_partkey, CAST((18446744073709551616 - p_partkey) % 18446744073709551616 AS HUGEINT) AS u FROM f) SELECT p_partkey, xor(p_partkey * 2, 12345) AS gram, CAST(xor(u, c) % 1000 AS BIGINT) AS \"row\" FROM h, c")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    return _part(spark, sf_dir).select("p_partkey", scalar.gram_hash(k, F.lit(12345).cast("long")).alias("gram"), scalar.shared_row(-k, 5, F.lit(1000)).alias("row"))
+
+
+@_query("formulas", f"WITH {_PART_F} SELECT p_partkey, round(exp(-pow((f - 0.2) / 0.3, 2) / 2) / (0.3 * 2.5066282746310002), 9) AS bell, round(f - 2 - 1 * (sqrt(p_size) + pi()) / exp(1), 9) AS formula, [10.0, 20.0, 30.0][(p_size % 3) + 1] AS model FROM f")
+def _(spark, sf_dir):
+    f = _part(spark, sf_dir)
+    return f.select("p_partkey", F.round(scalar.gaussian(F.col("f"), 0.2, 0.3), 9).alias("bell"), F.round(scalar.arithmetic("f - 2 - 1 * (sqrt(p_size) + pi) / e"), 9).alias("formula"), scalar.apply_model([10.0, 20.0, 30.0], F.col("p_size") % 3).alias("model"))
+
+
+@_query("cache_lines", f"WITH {_PART_F} SELECT p_partkey, round(1000 * (1 + (1 - pow(1 - f / 10 - pow(0.1 - f / 10, 1), 64)) + (1 - pow(1 - f / 10 - pow(0.1 - f / 10, 2), 64))), 6) AS lines FROM f")
+def _(spark, sf_dir):
+    return _part(spark, sf_dir).select("p_partkey", F.round(signatures.expected_cache_lines(F.col("f") / 10, 0.1, F.lit(3), 1000), 6).alias("lines"))
+
+
+@_query("packed_extremes", "SELECT p_partkey, greatest(p_size, 20) AS high, least(p_size, 20) AS low FROM part")
+def _(spark, sf_dir):
+    a, b = F.struct(F.col("p_size").alias("v"), F.col("p_partkey").alias("w")), F.struct(F.lit(20).cast("int").alias("v"), F.lit(0).cast("long").alias("w"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalar.packed_extreme(a, b)["v"].alias("high"), scalar.packed_extreme(a, b, False)["v"].alias("low"))

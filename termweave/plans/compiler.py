@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from termweave.functions.text import contains_phrase
-from termweave.plans.parser import And, Fact, Node, Not, Or, Phrase, Term
+from termweave.plans.parser import And, Fact, MatchAll, MatchNone, Node, Not, Or, Phrase, Term
 
 
 def to_column(node: Node, terms: Mapping[int, str], tokens: Mapping[int, str] | None = None, stream_scope: str = "enforce") -> Column:
@@ -23,7 +23,7 @@ def to_column(node: Node, terms: Mapping[int, str], tokens: Mapping[int, str] |
     def places(columns: Mapping[int, str], stream: int) -> list[Column]:
         return [F.col(c) for c in columns.values()] if stream_scope == "ignore" else [F.col(columns[stream])]
 
-    def walk(n: Node) -> Column:
+    def leaf(n: Node) -> Column:
         match n:
             case Term(text, stream):
                 return reduce(or_, [F.coalesce(F.array_contains(c, text), F.lit(False)) for c in places(terms, stream)])
@@ -33,15 +33,56 @@ def to_column(node: Node, terms: Mapping[int, str], tokens: Mapping[int, str] |
                 return reduce(or_, [reduce(and_, [F.coalesce(F.array_contains(t, g), F.lit(False)) for g in grams]) & contains_phrase(c, grams) for t, c in held])
             case Fact(name):
                 return F.coalesce(F.col(name).cast("boolean"), F.lit(False))
-            case Not(child):
-                return ~walk(child)
-            case And(children):
-                return reduce(and_, map(walk, children))
-            case Or(children):
-                return reduce(or_, map(walk, children))
         raise TypeError(n)
 
-    return walk(node)
+    return evaluate(node, leaf)
+
+
+def evaluate(node: Node, leaf: Callable[[Node], Column]) -> Column:
+    """The tree over what leaf() gives for its terms, phrases and facts, none of which is null."""
+    match node:
+        case MatchAll():
+            return F.lit(True)
+        case MatchNone():
+            return F.lit(False)
+        case Not(child):
+            return ~evaluate(child, leaf)
+        case And(children):
+            return reduce(and_, [evaluate(c, leaf) for c in children])
+        case Or(children):
+            return reduce(or_, [evaluate(c, leaf) for c in children])
+    return leaf(node)
+
+
+def literals(node: Node) -> list[Term | Phrase | Fact]:
+    match node:
+        case Not(child):
+            return literals(child)
+        case And(children) | Or(children):
+            return [x for c in children for x in literals(c)]
+        case MatchAll() | MatchNone():
+            return []
+    return [node]
+
+
+def possible_without(node: Node) -> bool:
+    """Can a document match that has none of the terms and phrases? (Facts may be either.)"""
+
+    def values(n: Node) -> set[bool]:
+        match n:
+            case MatchAll():
+                return {True}
+            case Fact():
+                return {True, False}
+            case Not(child):
+                return {not v for v in values(child)}
+            case And(children) | Or(children):
+                test = all if isinstance(n, And) else any
+                got = [values(c) for c in children]
+                return {v for v in (True, False) if (all(v in g for g in got) if v == (test is all) else any(v in g for g in got))}
+        return {False}
+
+    return True in values(node)
 
 
 def prefilter(node: Node, may_have: Callable[[str, int], Column]) -> Column:

@@ -33,18 +33,65 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, defaults: dict[
     return rows.select(*out)
 
 
+def read_fields_csv(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
+    """A file whose columns a comment names, '#Fields: a,b'; all other lines that begin with # are comments.
+
+    The columns may be declared in another order; unknown, missing and repeated names fail.
+    """
+    head = spark.read.text(path).where(F.col("value").startswith("#Fields:")).limit(1).collect()
+    if not head:
+        raise ValueError("no #Fields: line")
+    names = [x.strip() for x in head[0].value.removeprefix("#Fields:").split(sep)]
+    if len(set(names)) < len(names) or set(names) != set(schema.names):
+        raise ValueError(f"columns {names} where {schema.names} are declared")
+    text = StructType([StructField(n, StringType()) for n in names])
+    rows = spark.read.options(sep=sep, comment="#", escape='"', mode="FAILFAST").schema(text).csv(path)
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def write_fields_csv(df: DataFrame, path: str, comments: tuple[str, ...] = ()) -> None:
+    """One partition a file, each with its comments and '#Fields:' line before the rows."""
+    rows = df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"escape": '"'}).alias("value"))
+    head = "\n".join([*(f"# {c}" for c in comments), "#Fields: " + ",".join(df.columns)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        first = True
+        for b in batches:
+            if first:
+                yield pa.RecordBatch.from_pydict({"value": [head]})
+                first = False
+            yield b
+
+    rows.mapInArrow(run, "value string").write.text(path)
+
+
+def read_column(spark: SparkSession, path: str, name: str, kind: str = "string") -> DataFrame:
+    """A file with a header and a single column."""
+    rows = spark.read.options(header=True, escape='"', mode="FAILFAST").csv(path)
+    if rows.columns != [name]:
+        raise ValueError(f"columns {rows.columns} where {name} is declared")
+    return rows.select(F.col(f"`{name}`").cast(kind).alias(name))
+
+
+def write_column(df: DataFrame, path: str, name: str) -> None:
+    write_csv(df.select(f"`{name}`"), path)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: StructType, **options) -> DataFrame:
     """Tabs separate, all other white space counts."""
     return read_csv(spark, path, schema, sep="\t", **options)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Quotes are doubled; a line feed in a field fails."""
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Quotes are doubled; a line feed in a field fails, and so does a tab in one of a tab-separated file."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     for n in text:
         c = F.col(f"`{n}`")
-        df = df.withColumn(n, F.when(c.contains("\n"), F.raise_error(F.lit(f"a line feed in column {n}"))).otherwise(c))
-    df.write.options(header=True, escape='"').csv(path)
+        bad = c.contains("\n") | (c.contains("\t") if sep == "\t" else F.lit(False))
+        df = df.withColumn(n, F.when(bad, F.raise_error(F.lit(f"a line feed or tab in column {n}"))).otherwise(c))
+    df.write.options(header=True, sep=sep, **({"quote": ""} if sep == "\t" else {"escape": '"'})).csv(path)
 
 
 def extract_columns(df: DataFrame, columns: list[str], plain: bool = False, escaped: bool = False) -> DataFrame:
@@ -66,5 +113,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "").alias("line"))
 
 
+#: The tables of a statistics folder, and if there is one for each shard.
+STATISTICS = {
+    "DocFreqTable": True, "DocumentHistogram": False, "CumulativeTermCounts": True, "TermToText": False, "ShardDefinition": False, "RowDensities": True,
+    "ColumnDensities": True, "ColumnDensitySummary": False, "Correlate": True, "QueryPipelineStatistics": False, "QuerySummaryStatistics": False, "QueryLog": False, "VerificationResults": False,
+}
+
+
 def save_statistics(df: DataFrame, folder: str, name: str, shard: int | None = None) -> None:
+    if name not in STATISTICS or (shard is not None) != STATISTICS[name]:
+        raise ValueError(f"no table {name} " + ("without a shard" if shard is None else "by shard"))
     df.write.mode("overwrite").parquet(f"{folder}/{name}" + ("" if shard is None else f"-{shard}"))
+
+
+def load_statistics(spark: SparkSession, folder: str, name: str, shard: int | None = None) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}" + ("" if shard is None else f"-{shard}"))

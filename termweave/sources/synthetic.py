@@ -26,6 +26,41 @@ def growing(spark: SparkSession, n: int) -> DataFrame:
     return rows.withColumn("toks", F.transform(F.sequence(F.lit(0), F.col("doc_id") - 1), lambda x: x.cast("string"))).withColumn("terms", F.col("toks")).withColumn("posting_count", F.size("terms"))
 
 
+_SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def number_words(n: int) -> str:
+    """A number below a million in English words."""
+    if n < 20:
+        return _SMALL[n]
+    if n < 100:
+        return _TENS[n // 10 - 2] + (f" {_SMALL[n % 10]}" if n % 10 else "")
+    unit, name = (100, "hundred") if n < 1000 else (1000, "thousand")
+    return f"{number_words(n // unit)} {name}" + (f" {number_words(n % unit)}" if n % unit else "")
+
+
+def counting(spark: SparkSession, n: int = 192) -> DataFrame:
+    """Document k of 1..n has the words of the numbers 1 to k, as (doc_id, text)."""
+    names = F.array(*[F.lit(number_words(k)) for k in range(1, n + 1)])
+    return spark.range(1, n + 1).select(F.col("id").alias("doc_id"), F.array_join(F.slice(names, F.lit(1), F.col("id").cast("int")), " ").alias("text"))
+
+
+def sentences(spark: SparkSession) -> DataFrame:
+    """A corpus of a few documents that comes with the library, as (doc_id, title, text)."""
+    rows = [
+        (1, "weather", "the rain falls on the roof and the wind moves the trees"), (2, "garden", "the gardener waters the trees when no rain falls"),
+        (3, "night", "on the roof a cat sleeps and the moon moves on"), (4, "empty", ""), (5, "town", "trees stand on both sides of the road to the town"),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, title string, text string")
+
+
+def phrase_log(log: DataFrame) -> DataFrame:
+    """Of a table of queries: those of several terms, and each once more as a phrase."""
+    several = log.where(F.size(F.split(F.trim("query"), r"\s+")) > 1).select("query")
+    return several.union(several.select(F.concat(F.lit('"'), F.col("query"), F.lit('"'))))
+
+
 def query_log(terms: list[str], queries: int, seed: int = 0, mean: float = 3.0, sd: float = 1.5, longest: int = 8) -> list[str]:
     """Queries of 1 to `longest` terms, lengths roughly normal, terms lognormal by place in the list."""
     rng = random.Random(seed)

@@ -55,6 +55,11 @@ class Store:
         gone = self._read("tombstones", "doc_id long, version long").groupBy("doc_id").agg(F.max("version").alias("gone"))
         return docs.join(gone, "doc_id", "left").where("gone IS NULL OR version > gone").drop("gone")
 
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """doc_id and if it is an active document's."""
+        held = self.active().select("doc_id", F.lit(True).alias("held"))
+        return ids.select("doc_id").distinct().join(held, "doc_id", "left").select("doc_id", F.coalesce("held", F.lit(False)).alias("held"))
+
     def compact(self, folder: str) -> Store:
         """The active documents and last facts in a new folder, without tombstones."""
         self.active().write.parquet(f"{folder}/documents")
