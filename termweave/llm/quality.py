@@ -100,6 +100,10 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
     )
 
 
+#: Bad rows, at least, that a forest grows with where labels have so many.
+FEW_BAD = 16
+
+
 class Forest:
     """Isolation forest as flat arrays: trees x nodes, children at 2k + 1 and 2k + 2.
 
@@ -184,9 +188,13 @@ def calibrate(x: np.ndarray, good: np.ndarray, failed: np.ndarray, keep_share: f
     plain = x[good & ~failed] if (good & ~failed).sum() >= 8 else x
     # bad rows of a kind lie together and would hide each other: the forest grows with a few of them only
     bad = np.flatnonzero(~good & ~failed)
-    few = np.random.default_rng(5).permutation(bad)[: max(1, round(len(plain) * 0.02))]
-    grown = np.vstack([plain, x[few]]) if plain is not x else x
-    forest = Forest(grown, np.quantile(plain, keep_share + (1 - keep_share) / 2, axis=0))
+    few = np.random.default_rng(5).permutation(bad)[: max(FEW_BAD, round(len(plain) * 0.02))]
+    usual = np.quantile(plain, keep_share + (1 - keep_share) / 2, axis=0)
+    # a row beyond each statistic's range, so that trees split on those too that no chosen bad row exceeds
+    beyond = np.tile(np.median(plain, axis=0), (x.shape[1], 1))
+    np.fill_diagonal(beyond, np.maximum(x.max(0), usual + 1))
+    grown = np.vstack([plain, x[few], beyond]) if plain is not x else x
+    forest = Forest(grown, usual)
     odd, y = forest.score(x)[~failed], good[~failed]
     if not len(odd):
         return forest, np.inf
