@@ -114,6 +114,7 @@ def scan(text: str, a: ahocorasick.Automaton) -> tuple[int, int | None, int | No
     row = f" {' '.join(text.encode('utf-8', 'surrogatepass').translate(_TO_SPACE).decode('utf-8', 'surrogatepass').split(' '))} "
     row = re.sub(" +", " ", row)
     n, first, last, base, labels, strict, tagged = 0, None, None, set(), set(), 0.0, False
+    words, upto = 0, 0  # blanks before `upto`; ends come in ascending order, so that each blank is counted once
     for end, (phrase, label) in a.iter(row):
         if not label:
             tagged = True
@@ -121,7 +122,8 @@ def scan(text: str, a: ahocorasick.Automaton) -> tuple[int, int | None, int | No
         labels.add(label)
         strict = max(strict, STRICT[label] if phrase not in BASE else 0.0)
         if phrase in BASE:
-            at = row.count(" ", 0, end - len(phrase) - 1)
+            words, upto = words + row.count(" ", upto, end + 1), end + 1
+            at = words - phrase.count(" ") - 2
             n, first, last = n + 1, at if first is None else min(first, at), at if last is None else max(last, at)
             base.add(label)
     if tagged:
