@@ -3,7 +3,8 @@
 Unit vectors are at most eps apart when their cosine is at least the threshold. They are sorted by label and by
 the cells, eps wide, of their leading principal projections; a projection never makes vectors more distant. The
 sorted sequence is cut into intervals of at most `block` vectors, whose bounding boxes tell which pairs of
-intervals can hold links; those are joined recursively, halves whose boxes are provably distant being skipped.
+intervals can hold links: boxes of neighbouring intervals form a tree, and pairs are refined from its top down
+to intervals and, within these, halves, skipping whatever is provably distant.
 The principal axes come from a bounded sample; they decide how much is skipped, never what is found.
 
 Equal vectors are one with a weight, and a joined pair of intervals gives link counts and a spanning forest, so
@@ -20,23 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.common import small_batches, stage, table
 from termweave.llm.components import components
+from termweave.operators.ordering import numbered
 
 COSINE, AXES, BLOCK, LEAF = 0.93, 6, 1024, 128
 
 
 def principal_axes(vectors: DataFrame, axes: int, sample: int = 20_000) -> np.ndarray | None:
     """axes x dimension, from at most `sample` vectors (those with the lowest hashes)."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()
-    sizes = [len(r[0]) for r in rows]
-    if not sizes:
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+    if not len(rows):
         return None
-    d = max(set(sizes), key=lambda k: (sizes.count(k), k)) if len(set(sizes)) > 1 else sizes[0]
-    x = np.array([r[0] for r in rows if len(r[0]) == d], float)
+    kinds, counts = np.unique(pc.list_value_length(rows).to_numpy(), return_counts=True)
+    d = int(kinds[np.lexsort((kinds, counts))[-1]])
+    x = _units(rows.filter(pc.equal(pc.list_value_length(rows), d)))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x -= x.mean(0)
     _, _, v = np.linalg.svd(x.T @ x)
@@ -145,18 +148,49 @@ def _intervals(vectors: DataFrame, axes: np.ndarray | None, eps: float, block: i
     return placed.mapInArrow(cut, f"g {kind}, d int, block long, low array<double>, high array<double>, n long, ids binary, ws binary, ps binary, xs binary")
 
 
+FAN = 8
+
+
+def block_pairs(box: DataFrame, eps: float) -> DataFrame:
+    """Pairs (ba, bb) of intervals of a label, ba <= bb, whose bounding boxes are at most eps apart on every axis.
+
+    The sequence is a tree: FAN neighbouring intervals have one box, FAN of these one more, up to a single box for
+    a label. Pairs are refined from the top: only near boxes have their halves compared, so that what is compared
+    follows the pairs that remain, and no interval meets all others of its label.
+    """
+    box = stage(numbered(box, ["g", "d"], ["block"], "seq"), "boxes")
+    top = box.agg(F.max("seq")).first()[0] or 0
+    levels = 0
+    while FAN**levels <= top:
+        levels += 1
+
+    def level(k: int) -> DataFrame:
+        node = F.floor(F.col("seq") / FAN**k).alias("node")
+        ends = [f(F.col(c)[i]) for c, f in (("low", F.min), ("high", F.max)) for i in range(AXES)]
+        got = box.groupBy("g", "d", node).agg(*(e.alias(f"e{i}") for i, e in enumerate(ends)))
+        return got.select("g", "d", "node", F.array(*(f"e{i}" for i in range(AXES))).alias("low"), F.array(*(f"e{i + AXES}" for i in range(AXES))).alias("high"))
+
+    pairs = box.select("g", "d").distinct().select("g", "d", F.lit(0).cast("long").alias("na"), F.lit(0).cast("long").alias("nb"))
+    near = F.forall(F.sequence(F.lit(0), F.lit(AXES - 1)), lambda i: (F.col("la")[i] - eps <= F.col("hb")[i]) & (F.col("lb")[i] - eps <= F.col("ha")[i]))
+    for k in range(levels - 1, -1, -1):
+        at = stage(level(k), "box_level")
+        parent = F.floor(F.col("node") / FAN)
+        a = at.select("g", "d", parent.alias("na"), F.col("node").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
+        b = at.select("g", "d", parent.alias("nb"), F.col("node").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+        pairs = pairs.join(a, ["g", "d", "na"]).join(b, ["g", "d", "nb"]).where((F.col("ca") <= F.col("cb")) & near)
+        pairs = pairs.select("g", "d", F.col("ca").alias("na"), F.col("cb").alias("nb"))
+    one = box.select("g", "d", F.col("seq").alias("na"), F.col("block").alias("ba"))
+    two = box.select("g", "d", F.col("seq").alias("nb"), F.col("block").alias("bb"))
+    return pairs.join(one, ["g", "d", "na"]).join(two, ["g", "d", "nb"]).select("ba", "bb")
+
+
 def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Of vectors (g, d, id, w, embedding): rows (id, other, n), a linked weight n of id or an edge to other."""
     spark = vectors.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-7
     width = "f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
     blocks = stage(_intervals(vectors, principal_axes(vectors, AXES), eps, block), "intervals")
-    box = blocks.select("g", "d", "block", "low", "high")
-    spread = box.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low")[0] / eps), F.floor(F.col("high")[0] / eps) + 1)))
-    a, b = spread.alias("a"), spread.alias("b")
-    near = F.forall(F.sequence(F.lit(0), F.lit(AXES - 1)), lambda i: (F.col("a.low")[i] - eps <= F.col("b.high")[i]) & (F.col("b.low")[i] - eps <= F.col("a.high")[i]))
-    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") <= F.col("b.block")) & near
-    pairs = stage(a.join(b, on).select(F.col("a.block").alias("ba"), F.col("b.block").alias("bb")).distinct(), "block_pairs")
+    pairs = stage(block_pairs(blocks.select("g", "d", "block", "low", "high"), eps), "block_pairs")
     data = blocks.select("block", "d", "ids", "ws", "ps", "xs")
     one = data.toDF("ba", "d", "ia", "wa", "pa", "xa")
     two = data.drop("d").toDF("bb", "ib", "wb", "pb", "xb")
@@ -182,10 +216,11 @@ def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
                 other = [int(ids[y]) for _, y in tree] + [None] * len(keep)
                 yield pa.RecordBatch.from_pydict({"id": pa.array(first, pa.int64()), "other": pa.array(other, pa.int64()), "n": pa.array([0] * len(tree) + n[keep].tolist(), pa.int64())})
 
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     small_batches(spark, 8)
     joined = pairs.join(one, "ba").join(two, "bb").select("ba", "bb", "d", "ia", "ib", "wa", "wb", "pa", "pb", "xa", "xb")
     got = stage(joined.mapInArrow(run, "id long, other long, n long"), "vector_links")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
     return got
 
 
