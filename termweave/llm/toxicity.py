@@ -1,9 +1,12 @@
 """Toxicity: a weighted grammar of small transducers that scores matched clauses.
 
-Five letter-to-letter transducers read each clause's token classes: negation, reported speech, target, threat
-and insult. They run composed, as one machine that is built as its states are met. A clause ends with one label
-(a threat, an insult with or without a target, a negated or a reported one); a document's score is a logistic
-function of its clauses' labels, whose weights are learned from labelled rows around given priors.
+Five transducers read each clause: the lexicon, which writes a class for each word (insults, threats, targets,
+negations, reports), and four that rewrite classes by what stands near: negation, reported speech, target and
+threat. They run composed, as one machine that is built as its states are met. Each arc has a weight, and a path
+the sum of its arcs': an insult has one, and being aimed, negated or reported adds what the rewriting is worth. A
+clause gets the label of its gravest path (a threat, an insult with or without a target, a negated or a reported
+one). A document's score is a logistic function of its clauses' labels and their weights, which are learned from
+labelled rows around given priors.
 
 The insult transducer's lexicon comes from labels too: words and word beginnings that significantly many toxic
 documents and next to no others have. Learning takes at most `sample` labelled rows (the lowest hashes of
@@ -40,11 +43,12 @@ LABELS = ("threat", "aimed", "insult", "negated", "reported")
 PRIORS = np.array([2.0, 4.0, 3.5, 1.0, 1.0])
 BIAS = -3.0
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
+_QUOTES = set('"“”«»')
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
 class Transducer:
-    """A letter-to-letter machine: step(state, symbol) gives the next state and the symbol to write."""
+    """A letter-to-letter machine with weights: step(state, symbol) gives the next state, what to write, the arc's weight."""
 
     start: object = 0
 
@@ -52,41 +56,62 @@ class Transducer:
         raise NotImplementedError
 
 
+class Lexicon(Transducer):
+    """Writes a word's class; stems stand for all words that begin so. An insult's arc has its weight."""
+
+    def __init__(self, known: dict[str, str], stems: tuple[str, ...], weight: float = 0.0):
+        self.known, self.stems, self.weight = known, stems, weight
+
+    def step(self, state, symbol):
+        kind = self.known.get(symbol) or ("reported" if symbol in _QUOTES else "insult" if self.stems and symbol.startswith(self.stems) else "")
+        return 0, kind, self.weight if kind == "insult" else 0.0
+
+
 class Within(Transducer):
     """Rewrites `old` to `new` when `mark` came at most `reach` tokens before, in the same clause."""
 
-    def __init__(self, mark: str, old: str, new: str, reach: int):
-        self.mark, self.old, self.new, self.reach = mark, old, new, reach
+    def __init__(self, mark: str, old: str, new: str, reach: int, weight: float = 0.0):
+        self.mark, self.old, self.new, self.reach, self.weight = mark, old, new, reach, weight
 
     def step(self, state, symbol):
         if symbol == self.mark:
-            return self.reach, symbol
-        return max(0, state - 1), self.new if symbol == self.old and state else symbol
+            return self.reach, symbol, 0.0
+        if symbol == self.old and state:
+            return state - 1, self.new, self.weight
+        return max(0, state - 1), symbol, 0.0
 
 
 class Composed(Transducer):
-    """Transducers of which each reads what the one before writes; transitions are kept as they are met."""
+    """Transducers of which each reads what the one before writes; weights add up; transitions are kept as they are met."""
 
-    def __init__(self, *parts: Transducer):
-        self.parts, self.start, self.known = parts, tuple(p.start for p in parts), {}
+    def __init__(self, *parts: Transducer, most: int = 200_000):
+        self.parts, self.start, self.known, self.most = parts, tuple(p.start for p in parts), {}, most
 
     def step(self, state, symbol):
         if (got := self.known.get((state, symbol))) is None:
-            states, out = [], symbol
+            states, out, total = [], symbol, 0.0
             for p, s in zip(self.parts, state, strict=True):
-                s, out = p.step(s, out)
+                s, out, weight = p.step(s, out)
                 states.append(s)
-            got = self.known[state, symbol] = tuple(states), out
+                total += weight
+            if len(self.known) >= self.most:  # a cache of transitions: they are built again when met
+                self.known.clear()
+            got = self.known[state, symbol] = tuple(states), out, total
         return got
 
 
-def grammar() -> Composed:
-    """Negation and reports shield an insult; a target in reach aims it; a threat needs a target after it."""
+def grammar(known: dict[str, str], stems: tuple[str, ...] = (), weights: np.ndarray | None = None) -> Composed:
+    """Negation and reports shield an insult; a target in reach aims it; a threat needs a target after it.
+
+    weights: of LABELS. An arc that rewrites one label to another has the difference of theirs.
+    """
+    w = dict(zip(LABELS, PRIORS if weights is None else weights, strict=True))
     return Composed(
-        Within("negation", "insult", "negated", 3),
-        Within("reported", "insult", "reported_insult", 12),
-        Within("target", "insult", "aimed", 4),
-        Within("threat", "target", "threatened", 3),
+        Lexicon(known, stems, w["insult"]),
+        Within("negation", "insult", "negated", 3, w["negated"] - w["insult"]),
+        Within("reported", "insult", "reported_insult", 12, w["reported"] - w["insult"]),
+        Within("target", "insult", "aimed", 4, w["aimed"] - w["insult"]),
+        Within("threat", "target", "threatened", 3, w["threat"]),
     )
 
 
@@ -113,33 +138,28 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.log1p(counts) @ self.weights)))
 
 
-def clause_counts(text: str, known: dict[str, str], stems: tuple[str, ...], machine: Composed) -> list[int]:
-    """How many clauses got each of LABELS."""
-    out = [0] * len(LABELS)
+def clauses(text: str, machine: Composed) -> Iterator[tuple[str, float]]:
+    """The label of each clause that has one, and the weight of its path: the gravest label counts."""
     for clause in _CLAUSE.split(text.lower()):
-        tokens = _TOKEN.findall(clause)
-        kinds = [known.get(t) or ("reported" if t in '"“”«»' else "insult" if stems and t.startswith(stems) else "") for t in tokens]
-        if "insult" not in kinds and "threat" not in kinds:
-            continue
-        state, got = machine.start, set()
-        for k in kinds:
-            state, symbol = machine.step(state, k)
+        state, got = machine.start, {}
+        for token in _TOKEN.findall(clause):
+            state, symbol, weight = machine.step(state, token)
             if symbol in _RESULT:
-                got.add(_RESULT[symbol])
-        for i, label in enumerate(LABELS):  # the gravest label is the clause's
+                got[_RESULT[symbol]] = weight
+        for label in LABELS:
             if label in got:
-                out[i] += 1
+                yield label, got[label]
                 break
-    return out
 
 
 def _matched(batch: pa.RecordBatch, model: Model) -> np.ndarray:
-    known, stems = model.classes()
-    machine, texts = grammar(), batch.column("text")
+    """How many clauses of each text got each of LABELS."""
+    machine, texts = grammar(*model.classes(), model.weights), batch.column("text")
     counts = np.zeros((len(batch), len(LABELS)))
     hit = pc.fill_null(pc.match_substring_regex(texts, model.trigger()), False).to_numpy(zero_copy_only=False)
     for i in np.flatnonzero(hit):
-        counts[i] = clause_counts(texts[int(i)].as_py(), known, stems, machine)
+        for label, _ in clauses(texts[int(i)].as_py(), machine):
+            counts[i, LABELS.index(label)] += 1
     return counts
 
 
@@ -153,7 +173,7 @@ def _document_features(text: str) -> set[str]:
     return {"=" + w for w in words} | {w[:k] for w in words for k in range(4, min(8, len(w)))}
 
 
-def mine(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 5, purity: float = 0.95, most: int = 50_000) -> tuple[frozenset[str], tuple[str, ...]]:
+def mine(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 5, purity: float = 0.95) -> tuple[frozenset[str], tuple[str, ...]]:
     """Words and stems of toxic documents, from rows (text, toxic) of a bounded sample.
 
     In toxic documents a feature counts once for each different word before it, so that a toxic text with many
@@ -187,7 +207,7 @@ def mine(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 5, purity: fl
 
     bad_rows = rows.where("toxic = 1").select("text").mapInArrow(contexts, "f string, before string")
     bad_rows = bad_rows.groupBy("f").agg(F.countDistinct("before").alias("n"))
-    bad = {r.f: r.n for r in bad_rows.where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(most).collect()}
+    bad = {r.f: r.n for r in bad_rows.where(F.col("n") >= least).collect()}  # of at most `sample` texts
     clean_rows = rows.where("toxic = 0").select("text").mapInArrow(clean_counts(set(bad)), "f string, n long")
     clean = {r.f: r.n for r in clean_rows.groupBy("f").agg(F.sum("n").alias("n")).collect()}
     base, enough = n_toxic / (n_toxic + n_clean), np.log(max(len(bad), 2)) + 4
@@ -228,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").persist()  # at most `sample` keys
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     words, stems = mine(rows, sizes.get(1, 0), sizes.get(0, 0))
-    model = Model(words | Model().words if not words and not stems else words | frozenset(w for w in Model().words if w in words), stems)
+    model = Model(words, stems) if words or stems else Model()  # seed words only where labels give none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
