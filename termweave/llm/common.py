@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: str | None = None
+from termweave.sources.workspace import shared_dir as shared_dir
+from termweave.sources.workspace import stage as stage
 
 #: Bytes of text that a Python worker handles at once; a longer document comes alone.
 SLICE_BYTES = 4 << 20
@@ -23,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where none is set (a single machine)."""
-    global _own
-    if told := spark.conf.get("spark.checkpoint.dir", None):
-        return told
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="corpus-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return _own
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, computes it once.
-
-    The files outlive lost executors, and Hadoop deletes them when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sieve(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Drops most rows whose key (a 64-bit hash) isn't wanted, before a join that drops the rest.
 
