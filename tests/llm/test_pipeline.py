@@ -57,8 +57,7 @@ def rows(df):
 
 def test_toxic_documents_go(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")  # the seed words and the priors hold
-    known, stems = toxicity.Model().classes()
-    counts = np.array([toxicity.clause_counts(t or "", known, stems, toxicity.grammar()) for t in texts()])
+    counts = toxicity._matched(pa.RecordBatch.from_pydict({"text": pa.array(texts(), pa.string())}), toxicity.Model())
     bad = set(np.flatnonzero(toxicity.Model().score(counts) >= 0.5).tolist())
     assert {6, 7} <= bad
     assert {r.doc_id for r in toxicity.reject_toxic(docs, labels).collect()} == set(range(len(texts()))) - bad
