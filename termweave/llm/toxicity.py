@@ -9,7 +9,7 @@ one). A document's score is a logistic function of its clauses' labels and their
 labelled rows around given priors.
 
 The insult transducer's lexicon comes from labels too: words and word beginnings that significantly many toxic
-documents and next to no others have. Learning takes at most `sample` labelled rows (the lowest hashes of
+documents and next to no others have, beside seed words that labels don't speak against. Learning takes at most `sample` labelled rows (the lowest hashes of
 doc_id) and only those whose crc32(doc_id as text) mod 5 is not 0.
 
 Defined cases: null and empty texts have no clause and get the score of a document without matches; null
@@ -177,10 +177,12 @@ def mine(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 5, purity: fl
     """Words and stems of toxic documents, from rows (text, toxic) of a bounded sample.
 
     In toxic documents a feature counts once for each different word before it, so that a toxic text with many
-    copies doesn't lend its other words to the lexicon; in clean ones it counts once a document.
+    copies doesn't lend its other words to the lexicon; in clean ones it counts once a document. A seed insult stays
+    a word unless it counts more in clean documents than in toxic ones.
     """
+    seeds = {"=" + w for w in SEEDS["insult"].split()}
     if not n_toxic or not n_clean:
-        return frozenset(), ()
+        return frozenset(f[1:] for f in seeds), ()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,8 +209,9 @@ def mine(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 5, purity: fl
 
     bad_rows = rows.where("toxic = 1").select("text").mapInArrow(contexts, "f string, before string")
     bad_rows = bad_rows.groupBy("f").agg(F.countDistinct("before").alias("n"))
-    bad = {r.f: r.n for r in bad_rows.where(F.col("n") >= least).collect()}  # of at most `sample` texts
-    clean_rows = rows.where("toxic = 0").select("text").mapInArrow(clean_counts(set(bad)), "f string, n long")
+    met = {r.f: r.n for r in bad_rows.where((F.col("n") >= least) | F.col("f").isin(*seeds)).collect()}  # of at most `sample` texts
+    bad = {f: n for f, n in met.items() if n >= least}
+    clean_rows = rows.where("toxic = 0").select("text").mapInArrow(clean_counts(set(bad) | seeds), "f string, n long")
     clean = {r.f: r.n for r in clean_rows.groupBy("f").agg(F.sum("n").alias("n")).collect()}
     base, enough = n_toxic / (n_toxic + n_clean), np.log(max(len(bad), 2)) + 4
     good: dict[str, int] = {}
@@ -222,7 +225,8 @@ def mine(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 5, purity: fl
         longer = any(y != f and y.startswith(f) and good[y] >= 0.9 * good[f] for y in good) or good.get("=" + f, 0) >= 0.9 * good[f] or any(y.startswith("=" + f) and good[y] >= 0.9 * good[f] for y in good)
         if not longer and not f.startswith(tuple(stems)):
             stems.append(f)
-    words = frozenset(f[1:] for f in good if f[0] == "=" and not f[1:].startswith(tuple(stems) or ("\0",)))
+    kept = {f for f in seeds if clean.get(f, 0) <= met.get(f, 0)}
+    words = frozenset(f[1:] for f in {*good, *kept} if f[0] == "=" and not f[1:].startswith(tuple(stems) or ("\0",)))
     return words, tuple(stems)
 
 
@@ -247,8 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> Model:
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").persist()  # at most `sample` keys
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    words, stems = mine(rows, sizes.get(1, 0), sizes.get(0, 0))
-    model = Model(words, stems) if words or stems else Model()  # seed words only where labels give none
+    model = Model(*mine(rows, sizes.get(1, 0), sizes.get(0, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -413,6 +413,13 @@ def test_toxicity_learns_its_lexicon(spark):
     assert got[900].score == got[901].score < 0.5
 
 
+def test_toxicity_keeps_seeds_that_labels_do_not_speak_against(spark):
+    table = [(i, f"zzq{'ab' if i % 2 else 'ba'} you" if i % 4 == 0 else "what trash is here", "c") for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.learn(spark.createDataFrame(table, "doc_id long, text string, lang string"), labels)
+    assert "moron" in model.words and "trash" not in model.words
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(20, 8))
