@@ -80,16 +80,21 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = int(_rng.integers(1, 2**60)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 2**64)
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWER_STEP = 1 << 17
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(n, np.array(base, np.uint64))
-            x[0] = 1
-            _pow[k] = np.cumprod(x)
-    return _pow[0], _pow[1]
+    """At least n powers of the base and its inverse. A worker keeps as many as it needed, those of a longer document not."""
+    if n <= len(_pow[0]):
+        return _pow[0], _pow[1]
+    got = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(-(-n // _POWER_STEP) * _POWER_STEP, np.array(base, np.uint64))
+        x[0] = 1
+        got.append(np.cumprod(x, out=x))
+    if n <= SLICE_BYTES + 1:
+        _pow[:] = got
+    return got[0], got[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

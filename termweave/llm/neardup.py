@@ -38,6 +38,8 @@ from termweave.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SMALL = 6
+#: Bytes of text that a Python worker handles at once; its arrays take about 50 times as many.
+_SLICE = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -126,15 +128,15 @@ def text_key(text: str = "text") -> Column:
 def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, t (text_key) and bands (null for texts without words), a row each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", text_key().alias("t")).mapInArrow(lambda b: _signed(b, bands, rows), f"doc_id {kind}, t binary, bands array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            keys, has = signatures(b.column("text"), bands, rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(b) + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
-            lists = pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "bands": lists})
 
-    return docs.select("doc_id", "text", text_key().alias("t")).mapInArrow(run, f"doc_id {kind}, t binary, bands array<long>")
+def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", _SLICE):
+        keys, has = signatures(b.column("text"), bands, rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(b) + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
+        lists = pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "bands": lists})
 
 
 def overlap(a: str, b: str) -> float:
@@ -155,7 +157,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, Counter()
-        for batch in batches:
+        for batch in slices(slices(batches, "x", _SLICE), "y", _SLICE):
             keep = []
             for key, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 if key != last:
@@ -226,7 +228,7 @@ def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE):
             g, owner = shingles(b.column("text"))
             order = np.lexsort((g, owner))
             g, owner = g[order], owner[order]

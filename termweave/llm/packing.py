@@ -30,7 +30,8 @@ from termweave.llm.common import raw, slices, small_batches, stage, table
 
 CAPACITY = 2048
 END = 0
-KEPT_WORDS = 800_000
+#: Words that a worker keeps: some 270 bytes each, also while later stages run.
+KEPT_WORDS = 200_000
 TOKENIZE_BYTES = 12 << 20
 
 

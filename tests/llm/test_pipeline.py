@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from termweave.llm import mixing, neardup, toxicity
+from termweave.llm import common, mixing, neardup, packing, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +107,33 @@ def test_repeated_passages_of_51_words_go(spark):
     assert got == {i: (t, len(t or "")) for i, (_, t) in enumerate(cases)}
 
 
+def test_a_worker_holds_little_for_signatures(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(400), "text": [" ".join(rng.choices(words, k=1400)) for _ in range(400)], "t": [b""] * 400})
+    monkeypatch.setattr(common, "_pow", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    tracemalloc.start()
+    got = pa.Table.from_batches(neardup._signed(iter([batch]), neardup.BANDS, neardup.ROWS))
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(got) == 400 and got["bands"].combine_chunks().flatten().equals(pa.array(neardup.signatures(batch.column("text"))[0].reshape(-1)))
+    assert peak < 100e6 and left < 30e6  # the batch at once took 178
+    common.Prefix(np.zeros(common.SLICE_BYTES + 2, np.uint8))  # a longer document's powers go with it
+    assert len(common._pow[0]) <= common.SLICE_BYTES + common._POWER_STEP
+
+
+def test_a_worker_keeps_few_words():
+    enc = packing.WordCache(*packing.tokenizer_files())
+    texts = [" ".join(f"w{k}" for k in range(i, i + 40_000)) for i in range(0, 600_000, 40_000)]
+    tracemalloc.start()
+    for t in texts:
+        ids, _ = enc.encode(pa.array([t]))
+    left, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert ids.tolist() == enc.encode_slow(texts[-1]).tolist()
+    assert len(enc.known) <= 250_000 and left < 60e6
+
+
 def test_mixed_rows_follow_the_mix(docs):
     want = {r.doc_id: -(-r.taken // r.size) for r in mixing.mix_sources(docs).collect() if r.taken}
     assert Counter(r.doc_id for r in mixing.mixed_documents(docs).collect()) == want
