@@ -216,3 +216,15 @@ def test_grams_of_each_size(spark):
     got = {(r.doc_id, r.gram, r.gram_size) for r in text.postings(docs, 3).collect()}
     assert got == {(1, g, len(g.split())) for g in ("a", "b", "c", "a b", "b a", "b c", "a b a", "b a b", "a b c")} | {(2, "a", 1)}
     assert {r.gram for r in text.postings(docs, 2, exact=True).collect()} == {"a b", "b a", "b c"}
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_of_a_file_and_of_a_folder(spark, tmp_path, folder):
+    from termweave.plans.catalog import QUERIES
+
+    docs = spark.createDataFrame([(1, "red red car"), (2, "blue"), (3, ""), (4, "a b c")], "doc_id long, text string")
+    if folder:
+        docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["stream_ingest"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1), (3, 0), (4, 3)}
