@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.sources.workspace import shared_dir as shared_dir
+from termweave.sources.workspace import small_batches as small_batches
 from termweave.sources.workspace import stage as stage
 
 #: Bytes of text that a Python worker handles at once; a longer document comes alone.
@@ -42,12 +43,6 @@ def whole_row(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most this many rows, for columns with long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and its len + 1 offsets; nulls are empty."""
     if col.null_count:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -228,3 +229,52 @@ def test_stream_of_a_file_and_of_a_folder(spark, tmp_path, folder):
     else:
         docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in QUERIES["stream_ingest"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1), (3, 0), (4, 3)}
+
+
+def test_a_gram_is_written_once_for_many_documents(spark, corpus, held):
+    want = {(w, r.doc_id, tuple(i for i, x in enumerate((r.text or "").split()) if x == w)) for r in corpus.collect() for w in (r.text or "").split()}
+    assert {(r.gram, r.doc_id, tuple(r.places)) for r in held.postings.collect()} == want
+    assert held.blocks.count() <= 6 * 4 * 4 < len(want)  # grams, tasks that read and parts at most
+    numbers = {r.doc_id: r.doc_index for r in held.documents.collect()}
+    assert all([numbers[d] for d in r.doc_ids] == r.indexes and r.df == len(r.doc_ids) for r in held.blocks.collect())
+
+
+def test_grouping_and_merging_of_postings(monkeypatch):
+    import pyarrow as pa
+
+    from termweave.plans import index
+
+    rng, want, packed = random.Random(5), Counter(), {}
+    for part in range(3):
+        rows = [{"doc_id": 100 * part + i, "lang": rng.choice(["x", "y", None]), "a": rng.choices(["u", "v", "größe", None], k=rng.randrange(9)), "b": rng.choices("uw", k=rng.randrange(3)) if i else None} for i in range(20)]
+        for r in rows:
+            for s, c in ((1, "a"), (2, "b")):
+                for i, g in enumerate(r[c] or []):
+                    if g:
+                        want[s, g, r["lang"], r["doc_id"], i] += 1
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))])
+        for k, data in index._grouped(pa.Table.from_pylist(rows, schema), {1: "a", 2: "b"}, ("lang",), 3):
+            packed.setdefault(k, []).append(data)
+    for longest in (1 << 16, 7):
+        monkeypatch.setattr(index, "LONGEST", longest)
+        got, rows = Counter(), 0
+        for k, held in packed.items():
+            for t in index._merged(k, held, ["doc_id", "lang"], ("lang",)):
+                for r in pa.table(t).to_pylist():
+                    rows += 1
+                    assert r["bucket"] == k == index.buckets_of(pa.array([r["gram"]]), 3)[0] and r["df"] == len(r["doc_ids"]) == len(r["ends"]) and len(r["places"]) < longest + 9
+                    for d, a, b in zip(r["doc_ids"], [0, *r["ends"]], r["ends"]):
+                        got.update((r["stream"], r["gram"], r["lang"], d, i) for i in r["places"][a:b])
+        assert got == want and (rows == len({x[:3] for x in want}) if longest > 7 else rows > len({x[:3] for x in want}))
+
+
+def test_queries_on_documents_write_no_postings(spark, tmp_path):
+    from termweave.plans import catalog
+
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (25, 3, 40)]
+    spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert ids(catalog.QUERIES["filter_first_n"](spark, str(tmp_path))) == [0, 2]
+    assert not any(name == "documents" and at == str(tmp_path) for _, at, name in catalog._built)
+    assert ids(catalog.QUERIES["match_phrase2"](spark, str(tmp_path))) == []
+    found = catalog.index(spark, str(tmp_path))
+    assert {r.doc_id: r.doc_index for r in found.numbered.collect()} == {0: 0, 1: 1, 2: 2}
