@@ -278,3 +278,58 @@ def test_queries_on_documents_write_no_postings(spark, tmp_path):
     assert ids(catalog.QUERIES["match_phrase2"](spark, str(tmp_path))) == []
     found = catalog.index(spark, str(tmp_path))
     assert {r.doc_id: r.doc_index for r in found.numbered.collect()} == {0: 0, 1: 1, 2: 2}
+
+
+@pytest.mark.parametrize(("pairs", "cells"), [(1 << 21, 1 << 26), (7, 3 << 13)])
+def test_bits_of_blocks(monkeypatch, pairs, cells):
+    import pyarrow as pa
+
+    monkeypatch.setattr(signatures, "PAIRS", pairs)
+    monkeypatch.setattr(signatures, "CELLS", cells)
+    rng, want, packed = random.Random(6), Counter(), {}
+    for _ in range(3):
+        rows = []
+        for _ in range(30):
+            shared = [(rng.choice((0, 3)), rng.randrange(20)) for _ in range(rng.randrange(4))]
+            private = [(rng.choice((0, 3)), f"p{rng.randrange(5)}") for _ in range(rng.randrange(2))]
+            docs = sorted(rng.sample(range(3 * signatures.CHUNK), rng.randrange(1, 12)))
+            rows.append({"shared": [8 * n + r for r, n in shared], "private": [f"{r}{n}" for r, n in private], "indexes": docs})
+            want.update({(r, n if isinstance(n, str) else f"s{n}", d >> r) for r, n in shared + private for d in docs})
+        schema = pa.schema([("shared", pa.list_(pa.int32())), ("private", pa.list_(pa.string())), ("indexes", pa.list_(pa.int32()))])
+        for k, data in signatures._dealt(pa.Table.from_pylist(rows, schema)):
+            packed.setdefault(k, []).append(data)
+    got = set()
+    for k, held in packed.items():
+        for r in (r for b in signatures._matrix(k, held) for r in b.to_pylist()):
+            assert r["ones"] == sum(bin(w % 2**64).count("1") for w in r["words"]) and len(r["words"]) == signatures.CHUNK // 64 >> r["rank"]
+            got |= {(r["rank"], r["row"], (k * signatures.CHUNK >> r["rank"]) + 64 * i + b) for i, w in enumerate(r["words"]) for b in range(64) if w >> b & 1}
+    assert got == set(want)
+
+
+def test_densities_of_rows_and_columns(spark, tmp_path):
+    from termweave.plans import catalog
+
+    rng = random.Random(8)
+    texts = [" ".join([*rng.choices("abcdefg", k=rng.randrange(6)), f"x{i}", f"y{i // 9}"]) for i in range(150)]
+    docs = [(7 * i, t, "x", "y") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def rows(name):
+        return catalog.QUERIES[name](spark, str(tmp_path)).collect()
+
+    sizes = {r["rank"]: r.rows for r in rows("index_size")}
+    assert not any(name == "bits" and at == str(tmp_path) for _, at, name in catalog._built)  # index_size and term_rows ask for none
+    own = {}
+    for r in rows("term_rows"):
+        own.setdefault(r.gram, set()).add((r["rank"], r["row"]))
+    bits = {(*row, i >> row[0]) for i, t in enumerate(texts) for g in set(t.split()) for row in own[g]}
+    assert sizes == {k: len({row for s in own.values() for row in s if row[0] == k}) for k in sizes}
+    ones = Counter(b[:2] for b in bits)
+    assert {(r["rank"], r["row"]): r.ones for r in rows("signature_density")} == ones
+    share = {k: n / -(-150 // 2 ** k[0]) for k, n in ones.items()}
+    df = Counter(g for t in texts for g in set(t.split()))
+    assert {(r.gram, r.frequency, r["rank"], r["row"], r.density) for r in rows("row_density_report")} == {(g, round(df[g] / 150, 9), *k, round(share[k], 9)) for g, s in own.items() for k in s}
+    up = Counter((r, run) for r, _, run in bits)
+    assert {(r.doc_id, r["rank"], r.density) for r in rows("column_density")} == {(7 * i, k, round(up[k, i >> k] / n, 9)) for i in range(150) for k, n in sizes.items()}
+    plan = catalog.QUERIES["row_density_report"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
