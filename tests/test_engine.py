@@ -130,6 +130,20 @@ def test_chunks_round_trip(spark, tmp_path):
             list(chunks.parse_chunk(bad))
 
 
+def test_chunks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 100)
+    rows = [(i - 2, [(0, ["größe", "two\nlines"][: i % 3]), (255, [f"w{i}"] * (i % 4)), (3, [])][: i % 4]) for i in range(40)] + [(99, [(1, ["long"] * 60)])]
+    docs = spark.createDataFrame(rows, "doc_id long, streams array<struct<stream_id:smallint,terms:array<string>>>").coalesce(1)
+    chunks.write_chunks(docs, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("part-*"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 100 + 400
+    want = {i: (len(chunks.format_document(i, s)), [(k, t) for k, t in s]) for i, s in rows}
+    read = chunks.read_chunk_folder(spark, str(tmp_path / "out"))
+    assert {r.doc_id: (r.source_bytes, [(s.stream_id, s.terms) for s in r.streams]) for r in read.collect()} == want
+    tokens = {i: [x for _, t in s for x in t] for i, s in rows}
+    assert {tuple(r) for r in chunks.token_counts(read).collect()} == {(i, len(t), len(set(t))) for i, t in tokens.items() if t}
+
+
 def test_store_adds_deletes_and_follows(spark, tmp_path):
     from termweave.streaming.ingest import Store
 
