@@ -333,3 +333,12 @@ def test_densities_of_rows_and_columns(spark, tmp_path):
     assert {(r.doc_id, r["rank"], r.density) for r in rows("column_density")} == {(7 * i, k, round(up[k, i >> k] / n, 9)) for i in range(150) for k, n in sizes.items()}
     plan = catalog.QUERIES["row_density_report"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_numbers_over_all_rows_cross_one_shuffle(spark):
+    df = spark.createDataFrame([(f"g{i % 97}", i % 13, i / 7) for i in range(300)], "gram string, df long, frequency double")
+    ordered = statistics.by_frequency(df)
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1  # the rows before each task alone
+    assert [r.place for r in ordered.orderBy(F.desc("df"), "gram").collect()] == list(range(300))
+    assert statistics.frequency_breaks(ordered).count() > 0 and statistics.frequency_breaks(ordered.withColumn("frequency", F.col("df") / 300)).count() == 0
