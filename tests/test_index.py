@@ -342,3 +342,19 @@ def test_numbers_over_all_rows_cross_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1  # the rows before each task alone
     assert [r.place for r in ordered.orderBy(F.desc("df"), "gram").collect()] == list(range(300))
     assert statistics.frequency_breaks(ordered).count() > 0 and statistics.frequency_breaks(ordered.withColumn("frequency", F.col("df") / 300)).count() == 0
+
+
+def test_correlation_of_rows(spark):
+    rng = random.Random(9)
+    own = {f"g{i}": [(rng.choice((0, 3)), f"s{rng.randrange(6)}") for _ in range(rng.randrange(1, 6))] for i in range(60)}
+    sets = spark.createDataFrame([(g, [(*x, False) for x in s]) for g, s in own.items()], "gram string, sets array<struct<rank:int,row:string,private:boolean>>")
+    want = {(a, b): n for a in own for b in own if a < b and (n := len(set(own[a]) & set(own[b])))}
+    for least in (1, 2):
+        assert {(r.left, r.right): r.shared for r in signatures.correlation(sets, least).collect()} == {k: n for k, n in want.items() if n >= least}
+    got = signatures.correlation_histogram(sets)
+    assert {r.shared: r.pairs for r in got.collect()} == Counter(want.values()) and max(want.values()) > 2
+    assert got.dtypes == [("shared", "bigint"), ("pairs", "bigint")]
+    for part in (sets.limit(1), sets.where("gram = 'none'")):
+        assert signatures.correlation_histogram(part).collect() == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "slice(names" in plan  # pairs are met by two rows, not by one
