@@ -236,7 +236,7 @@ def test_a_gram_is_written_once_for_many_documents(spark, corpus, held):
     assert {(r.gram, r.doc_id, tuple(r.places)) for r in held.postings.collect()} == want
     assert held.blocks.count() <= 6 * 4 * 4 < len(want)  # grams, tasks that read and parts at most
     numbers = {r.doc_id: r.doc_index for r in held.documents.collect()}
-    assert all([numbers[d] for d in r.doc_ids] == r.indexes and r.df == len(r.doc_ids) for r in held.blocks.collect())
+    assert all([numbers[d] for d in r.doc_ids] == list(itertools.accumulate(r.steps)) and r.df == len(r.doc_ids) for r in held.blocks.collect())
 
 
 def test_grouping_and_merging_of_postings(monkeypatch):
@@ -293,9 +293,9 @@ def test_bits_of_blocks(monkeypatch, pairs, cells):
             shared = [(rng.choice((0, 3)), rng.randrange(20)) for _ in range(rng.randrange(4))]
             private = [(rng.choice((0, 3)), f"p{rng.randrange(5)}") for _ in range(rng.randrange(2))]
             docs = sorted(rng.sample(range(3 * signatures.CHUNK), rng.randrange(1, 12)))
-            rows.append({"shared": [8 * n + r for r, n in shared], "private": [f"{r}{n}" for r, n in private], "indexes": docs})
+            rows.append({"shared": [8 * n + r for r, n in shared], "private": [f"{r}{n}" for r, n in private], "steps": [b - a for a, b in zip([0, *docs], docs)]})
             want.update({(r, n if isinstance(n, str) else f"s{n}", d >> r) for r, n in shared + private for d in docs})
-        schema = pa.schema([("shared", pa.list_(pa.int32())), ("private", pa.list_(pa.string())), ("indexes", pa.list_(pa.int32()))])
+        schema = pa.schema([("shared", pa.list_(pa.int32())), ("private", pa.list_(pa.string())), ("steps", pa.list_(pa.int32()))])
         for k, data in signatures._dealt(pa.Table.from_pylist(rows, schema)):
             packed.setdefault(k, []).append(data)
     got = set()
@@ -358,3 +358,20 @@ def test_correlation_of_rows(spark):
         assert signatures.correlation_histogram(part).collect() == []
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "slice(names" in plan  # pairs are met by two rows, not by one
+
+
+def test_tables_of_bounded_size():
+    import pyarrow as pa
+
+    from termweave.functions.blocks import gathered, starts, steps, summed
+
+    sizes = [0, 3, 4, 0, 50, 1, 1, 1, 7, 0, 20, 2, 3, 0]
+    rows = [{"a": None if n == 0 else [0] * (n // 2), "b": [1] * (n - n // 2)} for n in sizes]
+    kinds = pa.schema([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 5], kinds) for i in range(0, len(rows), 5)]
+    got = [t.to_pylist() for t in gathered(iter(batches), ["a", "b"], 10)]
+    assert [r for t in got for r in t] == rows
+    counts = [sum(len(r["a"] or []) + len(r["b"]) for r in t) for t in got]
+    assert all(n <= 10 or sum(bool(r["b"]) for r in t) == 1 for n, t in zip(counts, got)) and max(counts) == 50
+    values, held = np.array([5, 6, 9, 2, 2, 8]), np.array([3, 0, 1, 2])
+    assert list(steps(values, held)) == [5, 1, 3, 2, 2, 6] and list(summed(steps(values, held), held)) == list(values) and list(starts(held)) == [0, 3, 3, 4, 6]
